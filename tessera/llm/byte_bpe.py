@@ -89,7 +89,7 @@ def symbols(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def token_starts(symbol: np.ndarray) -> np.ndarray:
     """Where a token (or separator) starts, by an associative scan of the symbols' transition functions.
 
-    Each block's functions are composed for all states at once; the block functions are composed in order; then each
+    Each block's functions are composed for all states at once, from its end on; the block functions are composed in order; then each
     block runs from its true state.
     """
     n = len(symbol)
@@ -99,8 +99,13 @@ def token_starts(symbol: np.ndarray) -> np.ndarray:
     columns = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T).astype(np.int16) * 8
     table = TO.ravel()
     whole = np.tile(np.arange(8, dtype=np.uint8), (blocks, 1))
-    for column in columns:
-        whole = table[column[:, None] + whole]
+    open_blocks = np.arange(blocks)
+    for column in columns[::-1]:  # from the right: a block is done when its function is constant
+        first = table[column[open_blocks, None] + np.arange(8, dtype=np.int16)]
+        whole[open_blocks] = whole[open_blocks[:, None], first]
+        open_blocks = open_blocks[(whole[open_blocks] != whole[open_blocks, :1]).any(axis=1)]
+        if not len(open_blocks):
+            break
     state = np.full(blocks, CLOSED, np.uint8)
     same = (whole == whole[:, :1]).all(axis=1)
     state[1:] = whole[:-1, 0]  # a block whose function is constant needs no state before it
@@ -159,18 +164,112 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class Merger:
+    """Pair merging of many slices at once, where a merged pair's rank is its id.
+
+    Slices up to WIDE bytes are rows of a matrix: each round finds every row's first pair of lowest rank, puts the pair's
+    id in its place, and looks up the two pairs beside it; rows without a pair that merges leave.
+    """
+
+    WIDE, NONE = 24, 1 << 30
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(left << 32 | right)
+        self.keys, self.merged = (left << 32 | right)[order], merged[order].astype(np.int32)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], self.NONE).astype(np.int32)
+
+    def merge(self, pieces: list[bytes], kind: str) -> list[bytes]:
+        """Packed ids of each slice."""
+        out: list[bytes] = [b""] * len(pieces)
+        wide = []
+        for i, piece in enumerate(pieces):
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                out[i] = np.array([rank], kind).tobytes()
+            elif len(piece) > self.WIDE:
+                out[i] = np.array(merge_pairs(piece, self.ranks), kind).tobytes()
+            else:
+                wide.append(i)
+        wide.sort(key=lambda i: len(pieces[i]))
+        for start in range(0, len(wide), 1 << 15):
+            part = wide[start : start + (1 << 15)]
+            rows = [pieces[i] for i in part]
+            n, width = len(rows), len(rows[-1])
+            raw = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
+            size = np.fromiter(map(len, rows), np.int64, n)
+            ids = np.where(np.arange(width) < size[:, None], self.single[raw], -1).astype(np.int32)
+            rank = self.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+            rank = np.hstack([rank, np.full((n, 1), self.NONE, np.int32)])
+            live = np.arange(n)
+            while len(live):
+                now = rank[live]
+                at = now.argmin(axis=1)
+                best = now[np.arange(len(live)), at]
+                go = best < self.NONE
+                live, at, best, now = live[go], at[go], best[go], now[go]
+                if not len(live):
+                    break
+                row = np.arange(len(live))
+                shift = np.arange(width) + (np.arange(width) > at[:, None])
+                shift[:, -1] = np.minimum(shift[:, -1], width - 1)
+                text = np.take_along_axis(ids[live], shift, axis=1)
+                text[:, -1] = -1
+                text[row, at] = best
+                now = np.take_along_axis(now, shift, axis=1)
+                now[:, -1] = self.NONE
+                now[row, at] = self.lookup(best, text[row, np.minimum(at + 1, width - 1)])
+                inner = at > 0
+                now[row[inner], at[inner] - 1] = self.lookup(text[row[inner], at[inner] - 1], best[inner])
+                ids[live], rank[live] = text, now
+            count, data = (ids >= 0).sum(axis=1), ids.astype(kind)
+            data, step = data.tobytes(), width * data.itemsize
+            for i, k, c in zip(part, range(n), (count * np.dtype(kind).itemsize).tolist()):
+                out[i] = data[k * step : k * step + c]
+        return out
+
+
+class PieceCache(dict):
+    """A bounded memo from slices to packed ids; what it lacks is merged together."""
+
+    def __init__(self, merge, kind: str, most: int = 800_000):  # noqa: ANN001
+        super().__init__()
+        self.fresh, self.kind, self.most = merge, kind, most
+
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.get, pieces))
+        if None in found:
+            lacking = [i for i, x in enumerate(found) if x is None]
+            new = list({pieces[i]: None for i in lacking})
+            made = dict(zip(new, self.fresh(new, self.kind)))
+            for i in lacking:
+                found[i] = made[pieces[i]]
+            if len(self) + len(made) > self.most:
+                self.clear()
+            self.update(made)
+        return found
+
+
 @lru_cache(4)
-def merge_cache(path: str) -> common.Cache:
-    ranks = load_ranks(path)
-    return common.Cache(lambda piece: np.array(merge_pairs(piece.encode(), ranks), "<u4").tobytes(), 600_000)
+def merge_cache(path: str) -> PieceCache:
+    merger = Merger(load_ranks(path))
+    return PieceCache(lambda pieces, kind: merger.merge([p.encode() for p in pieces], kind), "<u2" if max(merger.ranks.values()) < 1 << 16 else "<u4")
 
 
-def encode_pieces(texts: list[str], cache: dict[str, bytes]) -> Iterator[np.ndarray]:
+def encode_pieces(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
     """Ids of each text, from a memo of each slice's packed ids."""
     pieces, counts = pretokens(texts)
+    packed = cache.packed(pieces)
     at = 0
     for count in counts:
-        yield np.frombuffer(b"".join(map(cache.__getitem__, pieces[at : at + count])), "<u4")
+        yield np.frombuffer(b"".join(packed[at : at + count]), cache.kind)
         at += count
 
 
