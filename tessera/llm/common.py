@@ -140,5 +140,5 @@ class Cache(dict):
 
 def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """How many partitions of about `bytes_each` input bytes the plan's size statistics ask for."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, -(-size // bytes_each))
