@@ -142,3 +142,15 @@ def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """How many partitions of about `bytes_each` input bytes the plan's size statistics ask for."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, -(-size // bytes_each))
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df whose id and text (both null-safe, the text by a hash) are in kept (id_col, text_key); no column is added."""
+    keys = kept.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = df[id_col].eqNullSafe(keys["__id"]) & text_key(df[text_col]).eqNullSafe(keys["__key"])
+    return df.join(keys, same, "left_semi")
+
+
+def text_key(text: Column) -> Column:
+    """A hash of a text for keep_rows; null and empty texts have the same."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def score(docs: DataFrame, model: OrdinalModel, least_grade: int | None = None, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, expected_grade, tail_probability, grade, selected): tail_probability is P(grade >= least_grade).
+    """(id_col, text_key, expected_grade, tail_probability, grade, selected): tail_probability is P(grade >= least_grade).
 
     least_grade: the highest grade if None.
     """
@@ -165,21 +165,20 @@ def score(docs: DataFrame, model: OrdinalModel, least_grade: int | None = None,
         p = model.probabilities(np.array(values))
         tail = np.clip(p[:, levels >= least].sum(axis=1), 0, 1)
         return pa.RecordBatch.from_arrays(
-            [chunk.column(0), pa.array(p @ levels), pa.array(tail), pa.array(levels[p.argmax(axis=1)].astype(np.int32)), pa.array(tail >= least_tail)], [id_col, "expected_grade", "tail_probability", "grade", "selected"]
+            [chunk.column(0), chunk.column(2), pa.array(p @ levels), pa.array(tail), pa.array(levels[p.argmax(axis=1)].astype(np.int32)), pa.array(tail >= least_tail)], [id_col, "text_key", "expected_grade", "tail_probability", "grade", "selected"]
         )
 
-    rows = docs.select(F.col(id_col), common.text_or_empty(text_col).alias(text_col))
+    rows = docs.select(F.col(id_col), common.text_or_empty(text_col).alias(text_col), common.text_key(F.col(text_col)).alias("text_key"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return common.map_chunks(rows, make, f"`{id_col}` {kind}, expected_grade double, tail_probability double, grade int, selected boolean", text_col)
+    return common.map_chunks(rows, make, f"`{id_col}` {kind}, text_key bigint, expected_grade double, tail_probability double, grade int, selected boolean", text_col)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model)
+    return score(docs, model).drop("text_key")
 
 
 def keep_selected(docs: DataFrame, ratings: DataFrame, least_tail: float = 0.5) -> DataFrame:
     """The documents that the classifier selects, with all their columns."""
-    selected = score(docs, fit(docs, ratings), least_tail=least_tail).where("selected").select("doc_id").distinct()
-    return docs.join(selected, "doc_id", "left_semi")
+    return common.keep_rows(docs, score(docs, fit(docs, ratings), least_tail=least_tail).where("selected"), "doc_id", "text")

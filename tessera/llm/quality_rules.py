@@ -94,7 +94,7 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words) for each row.
+    """(id_col, lang, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words) for each row.
 
     classes and words are histograms; the last bin of words holds all words that aren't common.
     """
@@ -116,13 +116,13 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             for into, value in zip(rows, values):
                 into.append(value)
         arrays = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(x, pa.list_(pa.int64())) for x in rows[5:]]
-        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), *arrays], [id_col, "lang", *COUNTS, "classes", "words"])
+        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), chunk.column(3), *arrays], [id_col, "lang", "text_key", *COUNTS, "classes", "words"])
 
     lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), lang.alias("lang"))
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), lang.alias("lang"), common.text_key(F.col(text_col)).alias("text_key"))
     kind = rows.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return common.map_chunks(rows, make, f"`{id_col}` {kind}, lang string, {counts}, classes array<bigint>, words array<bigint>", text_col)
+    return common.map_chunks(rows, make, f"`{id_col}` {kind}, lang string, text_key bigint, {counts}, classes array<bigint>, words array<bigint>", text_col)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -158,7 +158,7 @@ def js_distance(counts: Column, shares: Column) -> Column:
 
 
 def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, counts, class_distance, word_distance, base_failed, kept) for each row."""
+    """(id_col, text_key, counts, class_distance, word_distance, base_failed, kept) for each row."""
     measured = common.staged(measures(df, id_col, text_col, lang_col), "measures")
     found = references(measured, rules).collect()  # one row for each language code that has documents, bounded by the languages
     whole = next((r for r in found if r["all"]), None)
@@ -174,7 +174,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_co
 
     chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     out = measured.select(
-        id_col, *COUNTS, chars.alias("n_chars"), js_distance(F.col("classes"), pick("ref_classes")).alias("class_distance"), js_distance(F.col("words"), pick("ref_words")).alias("word_distance"), base_failed(rules).alias("base_failed")
+        id_col, "text_key", *COUNTS, chars.alias("n_chars"), js_distance(F.col("classes"), pick("ref_classes")).alias("class_distance"), js_distance(F.col("words"), pick("ref_words")).alias("word_distance"), base_failed(rules).alias("base_failed")
     )
     odd = (F.col("n_chars") >= rules.class_chars) & (F.col("class_distance") > rules.class_distance)
     odd = odd | ((F.col("n_words") >= rules.word_words) & (F.col("word_distance") > rules.word_distance))
@@ -182,10 +182,9 @@ def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_co
 
 
 def keep_good(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id the rules keep, with all their columns."""
-    kept = judge(df, rules, id_col, text_col).where("kept").select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi")
+    """The rows that the rules keep, with all their columns."""
+    return common.keep_rows(df, judge(df, rules, id_col, text_col).where("kept"), id_col, text_col)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.documents(spark, sf_dir))
+    return judge(common.documents(spark, sf_dir)).drop("text_key")

@@ -235,9 +235,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows whose id is the smallest of their class (all columns kept)."""
-    kept = near_duplicates(df, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return df.join(kept.distinct(), id_col, "left_semi")
+    """One row of each class, that of the smallest id (null ids only where a class has no other), with all columns."""
+    found = common.staged(near_duplicates(df, id_col, text_col, radius), "duplicates")
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
+    single = df.join(kept.where("__n = 1"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    if not kept.where("__n > 1").limit(1).count():
+        return single
+    # Rows that repeat an id: one of them stays.
+    several = df.join(kept.where("__n > 1"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    return single.unionByName(several.dropDuplicates([id_col]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
