@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.porter import stem_word
@@ -38,9 +37,14 @@ def chunks(df: DataFrame, id_col: str, text_col: str, least: int = MIN_PARAGRAPH
     return parts.select(chunk_id(F.col("stem"), F.col("pos")).alias("doc_id"), "text")
 
 
-def stopwords(spark: SparkSession) -> list[str]:  # noqa: ARG001  a session must be active
-    """Spark's English stopwords without the forms that the tokenizer can't make."""
-    return sorted(w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha())
+# The usual English stopwords, as far as the tokenizer can make them.
+STOPWORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain "
+    "aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
 
 
 def without_stopwords(words: Column, stop: list[str]) -> Column:

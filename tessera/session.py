@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,9 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, Path(root.name) / source.relative_to(root))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{folder}/tessera-{name}-{uuid.uuid4().hex}"

@@ -23,8 +23,12 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def complete(self, table: str) -> bool:
+        """Whether a write of the table has ended."""
+        return self.exists(f"{table}/_SUCCESS")
+
     def exists(self, table: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/_SUCCESS")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, table: str, kind: T.StructType | None = None) -> DataFrame:
