@@ -238,11 +238,12 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of each class, that of the smallest id (null ids only where a class has no other), with all columns."""
     found = common.staged(near_duplicates(df, id_col, text_col, radius), "duplicates")
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    single = df.join(kept.where("__n = 1"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    if not kept.where("__n > 1").limit(1).count():
+    once, more = kept.where("__n = 1"), kept.where("__n > 1")
+    single = df.join(once, df[id_col].eqNullSafe(once["__id"]), "left_semi")
+    if not more.limit(1).count():
         return single
     # Rows that repeat an id: one of them stays.
-    several = df.join(kept.where("__n > 1"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    several = df.join(more, df[id_col].eqNullSafe(more["__id"]), "left_semi")
     return single.unionByName(several.dropDuplicates([id_col]))
 
 
