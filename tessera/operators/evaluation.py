@@ -64,7 +64,7 @@ def markdown_report(records: list[dict]) -> str:
         return ""
     names = list(records[0])
     lines = ["| " + " | ".join(names) + " |", "| " + " | ".join("---" for _ in names) + " |"]
-    return "\n".join([*lines, *("| " + " | ".join(str(r[n]) for n in names) + " |" for r in records)]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join(str(r[n]).replace("\n", " ") for n in names) + " |" for r in records)]) + "\n"
 
 
 def json_report(records: list[dict], **about: object) -> str:
