@@ -11,6 +11,7 @@ held against the reference of all languages; repeated rows are counted each; an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,39 +147,42 @@ def references(measured: DataFrame, rules: Rules) -> DataFrame:
     return by_lang.select("lang", "all", shares("c", CLASSES).alias("ref_classes"), shares("w", len(VOCABULARY) + 1).alias("ref_words"))
 
 
-def js_distance(counts: Column, shares: Column) -> Column:
-    """Jensen-Shannon distance of a histogram to shares; 0 for an empty histogram or reference."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    own = F.transform(counts, lambda x: x.cast("double") / total)
-    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    parts = F.zip_with(own, shares, lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    divergence = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2
-    held = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    return F.when((total > 0) & (held > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
+def js_distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts to its row of shares; 0 for an empty histogram or reference."""
+    total, held = counts.sum(axis=1, keepdims=True), shares.sum(axis=1)
+    p, q = counts / np.maximum(total, 1), shares
+    middle = (p + q) / 2
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(x > 0, middle, 1)), 0.0)
+    divergence = (part(p) + part(q)).sum(axis=1) / 2
+    return np.where((total[:, 0] > 0) & (held > 0), np.sqrt(np.maximum(divergence, 0)), 0.0)
 
 
 def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id_col, text_key, counts, class_distance, word_distance, base_failed, kept) for each row."""
     measured = common.staged(measures(df, id_col, text_col, lang_col), "measures")
-    found = references(measured, rules).collect()  # one row for each language code that has documents, bounded by the languages
-    whole = next((r for r in found if r["all"]), None)
-    if whole is None:
-        whole = {"ref_classes": [0.0] * CLASSES, "ref_words": [0.0] * (len(VOCABULARY) + 1)}
-    known = {r["lang"]: r for r in found if not r["all"] and r["lang"] is not None and r["lang"] in COMMON_WORDS}
-
-    def pick(name: str) -> Column:
-        out = F.array(*(F.lit(float(x)) for x in whole[name]))
-        for lang, r in known.items():
-            out = F.when(F.col("lang") == lang, F.array(*(F.lit(float(x)) for x in r[name]))).otherwise(out)
-        return out
-
-    chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    out = measured.select(
-        id_col, "text_key", *COUNTS, chars.alias("n_chars"), js_distance(F.col("classes"), pick("ref_classes")).alias("class_distance"), js_distance(F.col("words"), pick("ref_words")).alias("word_distance"), base_failed(rules).alias("base_failed")
-    )
-    odd = (F.col("n_chars") >= rules.class_chars) & (F.col("class_distance") > rules.class_distance)
-    odd = odd | ((F.col("n_words") >= rules.word_words) & (F.col("word_distance") > rules.word_distance))
-    return out.withColumn("kept", ~F.col("base_failed") & ~odd).drop("n_chars")
+    found = references(measured, rules).where("all = 1 OR lang IN ('{}')".format("', '".join(COMMON_WORDS))).collect()  # a row for each language with a word list, and one for all
+    shares = {None if r["all"] else r["lang"]: (np.array(r["ref_classes"]), np.array(r["ref_words"])) for r in found}
+    shares.setdefault(None, (np.zeros(CLASSES), np.zeros(len(VOCABULARY) + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                langs = batch.column(1).to_pylist()
+                distance = []
+                for k, column in enumerate((batch.column(8), batch.column(9))):
+                    counts = column.flatten().to_numpy().reshape(batch.num_rows, -1)
+                    distance.append(js_distance(counts, np.array([shares.get(lang, shares[None])[k] for lang in langs])))
+                    chars = counts.sum(axis=1) if k == 0 else chars  # noqa: F821
+                n_words, n_repeat = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 7))
+                failed = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_percent * n_words)
+                odd = (chars >= rules.class_chars) & (distance[0] > rules.class_distance) | (n_words >= rules.word_words) & (distance[1] > rules.word_distance)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(batch.column(i) for i in range(3, 8)), *(pa.array(d) for d in distance), pa.array(failed), pa.array(~failed & ~odd)], names)
+
+    names = [id_col, "text_key", *COUNTS, "class_distance", "word_distance", "base_failed", "kept"]
+    kind = measured.schema[id_col].dataType.simpleString()
+    counts = ", ".join(f"{c} bigint" for c in COUNTS)
+    return common.map_arrow(measured, run, f"`{id_col}` {kind}, text_key bigint, {counts}, class_distance double, word_distance double, base_failed boolean, kept boolean")
 
 
 def keep_good(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
