@@ -1,7 +1,7 @@
 """Exhaustive ranking over sparse vectors with a choice of metric; the check of the inverted index.
 
-A query is held against all documents by joins on terms, never by pairs: for Minkowski metrics the distance of a document
-is its own sum plus corrections for the query's terms.
+Documents that share a term with a query are scored by joins on terms; of the others, which only a few numbers tell apart, each
+query keeps its best k before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -37,60 +37,94 @@ def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def all_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of a stated query set against all documents: the set is broadcast in the plan only if it is small."""
+    """(query_id, doc_id) of a stated query set against all documents; what follows cuts it before any shuffle."""
     return docs.select("doc_id").distinct().crossJoin(queries.select("query_id").distinct())
 
 
-def cosine_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for every document; 0 where a norm is 0 or no term is shared."""
+def cosine_touched(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of documents that share a term with a query."""
     dots = sparse_dot(queries, docs)
     sized = dots.join(terms.norms(docs), "doc_id").withColumnRenamed("norm", "nd").join(terms.norms(queries, "query_id"), "query_id")
     size = F.col("nd") * F.col("norm")
-    touched = sized.select("query_id", "doc_id", F.when(size > 0, F.col("dot") / F.when(size > 0, size)).otherwise(0.0).alias("score"))
-    return all_pairs(queries, docs).join(touched, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return sized.select("query_id", "doc_id", F.when(size > 0, F.col("dot") / F.when(size > 0, size)).otherwise(0.0).alias("score"))
 
 
-def minkowski_scores(queries: DataFrame, docs: DataFrame, p: float) -> DataFrame:
-    """(query_id, doc_id, score): distance over the union of keys, missing ones 0.
+def _power(p: float) -> Callable[[Column], Column]:
+    return lambda c: F.abs(c) if p == 1 else c * c if p == 2 else F.pow(F.abs(c), F.lit(float(p)))
 
-    With finite p: sum over the document + sum over the query + corrections on shared terms.  With p infinite the largest gap
-    needs the document's largest weight outside the query's terms: an anti-join on terms for each query.
-    """
-    if p == float("inf"):
-        gap = F.abs(F.col("wd") - F.coalesce("w", F.lit(0.0)))
-        grid = docs.withColumnRenamed("w", "wd").crossJoin(queries.select("query_id").distinct())
-        own = grid.join(queries, ["query_id", "term"], "left").groupBy("query_id", "doc_id").agg(F.max(gap).alias("a"))
-        shared = docs.select("doc_id", "term").join(queries, "term").groupBy("query_id", "doc_id").agg(F.collect_set("term").alias("have"))
-        lists = queries.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("q"))
-        both = own.join(shared, ["query_id", "doc_id"], "left").join(lists, "query_id")
-        missing = F.transform(F.filter("q", lambda x: ~F.coalesce(F.array_contains(F.col("have"), x["term"]), F.lit(False))), lambda x: F.abs(x["w"]))
-        return both.select("query_id", "doc_id", F.greatest(F.col("a"), F.coalesce(F.array_max(missing), F.lit(0.0))).alias("score"))
-    power = lambda c: F.abs(c) if p == 1 else c * c if p == 2 else F.pow(F.abs(c), F.lit(float(p)))
+
+def _root(total: Column, p: float) -> Column:
+    own = F.greatest(total, F.lit(0.0))
+    return own if p == 1 else F.sqrt(own) if p == 2 else F.pow(own, F.lit(1 / p))
+
+
+def minkowski_apart(queries: DataFrame, docs: DataFrame, p: float) -> DataFrame:
+    """(query_id, doc_id, score) as if no term were shared: no shared term makes a distance of non-negative weights larger."""
+    power = _power(p)
+    doc_sums = docs.groupBy("doc_id").agg(F.sum(power(F.col("w"))).alias("d"))
+    query_sums = queries.groupBy("query_id").agg(F.sum(power(F.col("w"))).alias("q"))
+    return doc_sums.crossJoin(query_sums).select("query_id", "doc_id", _root(F.col("d") + F.col("q"), p).alias("score"))
+
+
+def minkowski_touched(queries: DataFrame, docs: DataFrame, p: float) -> DataFrame:
+    """(query_id, doc_id, score) of documents that share a term: both sums, and corrections on the shared terms."""
+    power = _power(p)
     doc_sums = docs.groupBy("doc_id").agg(F.sum(power(F.col("w"))).alias("d"))
     query_sums = queries.groupBy("query_id").agg(F.sum(power(F.col("w"))).alias("q"))
     shared = queries.join(docs.withColumnRenamed("w", "wd"), "term")
     fixes = shared.groupBy("query_id", "doc_id").agg(F.sum(power(F.col("w") - F.col("wd")) - power(F.col("w")) - power(F.col("wd"))).alias("fix"))
-    whole = doc_sums.crossJoin(query_sums).join(fixes, ["query_id", "doc_id"], "left")
-    total = F.greatest(F.col("d") + F.col("q") + F.coalesce("fix", F.lit(0.0)), F.lit(0.0))
-    root = total if p == 1 else F.sqrt(total) if p == 2 else F.pow(total, F.lit(1 / p))
-    return whole.select("query_id", "doc_id", root.alias("score"))
+    return fixes.join(doc_sums, "doc_id").join(query_sums, "query_id").select("query_id", "doc_id", _root(F.col("d") + F.col("q") + F.col("fix"), p).alias("score"))
 
 
-#: Metric name -> (scores of queries and documents, higher is better).
-METRICS: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], bool]] = {
-    "cosine": (cosine_scores, True),
-    "manhattan": (lambda q, d: minkowski_scores(q, d, 1), False),
-    "euclidean": (lambda q, d: minkowski_scores(q, d, 2), False),
-    "chebyshev": (lambda q, d: minkowski_scores(q, d, float("inf")), False),
-}
+def chebyshev_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): the largest gap, from a map of each document and each query of the stated set."""
+    left = docs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("a"))
+    right = queries.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("b"))
+    weight = lambda m, t: F.coalesce(F.try_element_at(m, t), F.lit(0.0))
+    own = F.array_max(F.transform(F.map_entries("a"), lambda x: F.abs(x["value"] - weight(F.col("b"), x["key"]))))
+    other = F.array_max(F.transform(F.map_entries("b"), lambda x: F.abs(x["value"] - weight(F.col("a"), x["key"]))))
+    return left.crossJoin(right).select("query_id", "doc_id", F.greatest(F.coalesce(own, F.lit(0.0)), F.coalesce(other, F.lit(0.0))).alias("score"))
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "cosine", digits: int | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score) over all documents."""
-    if metric not in METRICS:
+def minkowski_scores(queries: DataFrame, docs: DataFrame, p: float) -> DataFrame:
+    """(query_id, doc_id, score): distance over the union of keys, missing ones 0, for every query and document."""
+    if p == float("inf"):
+        return chebyshev_scores(queries, docs)
+    both = minkowski_apart(queries, docs, p).join(minkowski_touched(queries, docs, p).withColumnRenamed("score", "near"), ["query_id", "doc_id"], "left")
+    return both.select("query_id", "doc_id", F.coalesce("near", "score").alias("score"))
+
+
+def cosine_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) for every query and document; 0 where a norm is 0 or no term is shared."""
+    return all_pairs(queries, docs).join(cosine_touched(queries, docs), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best_of(touched: DataFrame, apart: DataFrame, k: int, digits: int | None, descending: bool) -> DataFrame:
+    """The best k of each query, where sharing a term never makes a score worse.
+
+    A document without shared terms can be among the best only if it is among the best k by `apart`, so only those
+    k rows a query are kept of all pairs, and they are cut on the side of the documents, before the shuffle.
+    """
+    fill = index.best(apart, k, digits, descending).select("query_id", "doc_id", "score")
+    rest = fill.join(touched, ["query_id", "doc_id"], "left_anti")
+    return index.best(touched.unionByName(rest), k, digits, descending)
+
+
+METRICS = ("cosine", "manhattan", "euclidean", "chebyshev")
+
+
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str | float = "cosine", digits: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score) over all documents with non-negative weights; a number is Minkowski's p."""
+    powers = {"manhattan": 1.0, "euclidean": 2.0, "chebyshev": float("inf")}
+    if metric == "cosine":
+        apart = all_pairs(queries, docs).withColumn("score", F.lit(0.0))
+        return best_of(cosine_touched(queries, docs), apart, k, digits, descending=True)
+    p = powers.get(metric) if isinstance(metric, str) else float(metric)
+    if p is None or p < 1:
         raise ValueError(f"unknown metric: {metric}")
-    scores, higher = METRICS[metric]
-    return index.best(scores(queries, docs), k, digits, higher)
+    if p == float("inf"):
+        return index.best(chebyshev_scores(queries, docs), k, digits, descending=False)
+    return best_of(minkowski_touched(queries, docs, p), minkowski_apart(queries, docs, p), k, digits, descending=False)
 
 
 def top_k_by(queries: DataFrame, docs: DataFrame, metric: Callable[[dict[str, float], dict[str, float]], float], k: int = 5, higher_is_better: bool = True) -> DataFrame:

@@ -143,7 +143,7 @@ def spimi_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).search_batch(_queries(spark, sf), K, DIGITS)
 
 
-def _dense(metric: str) -> Query:
+def _dense(metric: str | float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         tf = _tf(spark, sf)
         return similarity.top_k(similarity.vectorize_queries(_few_queries(spark, sf), tf), similarity.build_tfidf(tf), K, metric, DIGITS)
@@ -152,9 +152,7 @@ def _dense(metric: str) -> Query:
 
 
 def dense_topk_minkowski3(spark: SparkSession, sf: str) -> DataFrame:
-    tf = _tf(spark, sf)
-    scores = similarity.minkowski_scores(similarity.vectorize_queries(_few_queries(spark, sf), tf), similarity.build_tfidf(tf), 3)
-    return index.best(scores, K, DIGITS, descending=False)
+    return _dense(3)(spark, sf)
 
 
 def sparse_dot(spark: SparkSession, sf: str) -> DataFrame:
