@@ -16,6 +16,7 @@ labels and labels without a document are left out; without labels every score is
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-SIZE, WINDOW, WINDOWS, SAMPLE, BLOCK = 1 << 16, 64, 40, 4000, 64
+SIZE, WINDOW, WINDOWS, SAMPLE, BLOCK = 1 << 16, 64, 24, 2400, 64
 _EDGES = re.compile(r"^\W+|\W+$")
 _TOKEN = re.compile(r"\S+")
 
@@ -133,7 +134,7 @@ def token_labels(windows: list[list[str]], owners: list[int], toxic: dict[int, i
     return [[int(toxic[doc] and any(g in marks for g in beginnings(w))) for w in words] for words, doc in zip(windows, owners)]
 
 
-def fit_chain(windows: list[list[str]], tags: list[list[int]], steps: int = 60, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_chain(windows: list[list[str]], tags: list[list[int]], steps: int = 45, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, transitions, start) by Adam on the windows' log-likelihood."""
     vocabulary: dict[str, int] = {}
     ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in windows for w in words], np.int64)
@@ -225,10 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = joined.schema["id"].dataType.simpleString()
     table = common.map_chunks(joined, make, f"id {kind}, windows array<string>, y int").toArrow()
     rows = sorted(zip(table["id"].to_pylist(), table["windows"].to_pylist(), table["y"].to_pylist()))
+    del table
     toxic = {i: int(y > 0) for i, (_, _, y) in enumerate(rows)}
     if not rows or len(set(toxic.values())) < 2:
         return ChainModel(np.zeros(SIZE + 1), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
-    windows = [(w.split(), i) for i, (_, parts, _) in enumerate(rows) for w in parts]
+    windows = [([sys.intern(x) for x in w.split()], i) for i, (_, parts, _) in enumerate(rows) for w in parts]
     tokens, owners = [w for w, _ in windows], [i for _, i in windows]
     tags = token_labels(tokens, owners, toxic)
     weights, transitions, start = fit_chain(tokens, tags)
