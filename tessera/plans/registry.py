@@ -17,7 +17,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors, weights
 from tessera.operators import clustering, evaluation, fulltext, index, pairing, similarity, terms, vector_search
 from tessera.plans import fixtures, pipelines
-from tessera.session import scratch
+from tessera.session import scratch, stored
 from tessera.sources import synthetic
 from tessera.sources.tables import Store
 from tessera.streaming import ingest
@@ -107,7 +107,7 @@ def split_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hist_to_dense(spark: SparkSession, sf: str) -> DataFrame:
-    tf = _tf(spark, sf)
+    tf = stored(_tf(spark, sf), "tf")
     keys = sorted(r["term"] for r in terms.top_terms(tf, WORDS).collect())  # WORDS rows
     hists = terms.as_maps(tf.where(F.col("term").isin(keys)))
     return hists.select("doc_id", F.posexplode(vectors.hist_to_dense(F.col("hist"), keys)).alias("dim", "value")).select("doc_id", "dim", F.round("value", DIGITS).alias("value"))
@@ -128,7 +128,7 @@ def row_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> index.InvertedIndex:
-    return index.InvertedIndex.build(_tf(spark, sf))
+    return index.InvertedIndex.build(stored(_tf(spark, sf), "tf")).write(scratch(spark, "index"))
 
 
 def spimi_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,8 +145,9 @@ def spimi_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dense(metric: str | float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        tf = _tf(spark, sf)
-        return similarity.top_k(similarity.vectorize_queries(_few_queries(spark, sf), tf), similarity.build_tfidf(tf), K, metric, DIGITS)
+        tf = stored(_tf(spark, sf), "tf")
+        asked = stored(similarity.vectorize_queries(_few_queries(spark, sf), tf), "queries")
+        return similarity.top_k(asked, stored(similarity.build_tfidf(tf), "vectors"), K, metric, DIGITS)
 
     return run
 
@@ -156,7 +157,7 @@ def dense_topk_minkowski3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sparse_dot(spark: SparkSession, sf: str) -> DataFrame:
-    tf = _tf(spark, sf)
+    tf = stored(_tf(spark, sf), "tf")
     return _rounded(similarity.sparse_dot(similarity.vectorize_queries(_few_queries(spark, sf), tf), similarity.build_tfidf(tf)), "dot")
 
 
@@ -343,8 +344,8 @@ def sampled_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def synthetic_topk(spark: SparkSession, sf: str) -> DataFrame:
     """As many synthetic documents as there are documents, and 100 synthetic queries."""
-    own = synthetic.corpus(spark, documents(spark, sf).count())
-    return index.InvertedIndex.build(own).search_batch(synthetic.queries(spark, 100), K, DIGITS)
+    own = stored(synthetic.corpus(spark, documents(spark, sf).count()), "corpus")
+    return index.InvertedIndex.build(own).write(scratch(spark, "index")).search_batch(synthetic.queries(spark, 100), K, DIGITS)
 
 
 def demo_metrics(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,7 +27,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set.
+
+    What is written there goes when the driver's Python ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{folder}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/tessera-{name}-{uuid.uuid4().hex}"
+    atexit.register(_quietly, spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once and read again: what several branches of a plan share is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
