@@ -180,6 +180,8 @@ class Merger:
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         order = np.argsort(left << 32 | right)
         self.keys, self.merged = (left << 32 | right)[order], merged[order].astype(np.int32)
+        # Pairs of single bytes, the most of all look-ups, have a table of their own.
+        self.byte_pairs = self.lookup(np.repeat(self.single, 256), np.tile(self.single, 256))
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | np.maximum(right, 0)
@@ -189,25 +191,24 @@ class Merger:
     def merge(self, pieces: list[bytes], kind: str) -> list[bytes]:
         """Packed ids of each slice."""
         out: list[bytes] = [b""] * len(pieces)
-        wide = []
-        for i, piece in enumerate(pieces):
-            rank = self.ranks.get(piece)
+        wide, size = [], np.dtype(kind).itemsize
+        for i, rank in enumerate(map(self.ranks.get, pieces)):
             if rank is not None:
-                out[i] = np.array([rank], kind).tobytes()
-            elif len(piece) > self.WIDE:
-                out[i] = np.array(merge_pairs(piece, self.ranks), kind).tobytes()
+                out[i] = rank.to_bytes(size, "little")
+            elif len(pieces[i]) > self.WIDE:
+                out[i] = np.array(merge_pairs(pieces[i], self.ranks), kind).tobytes()
             else:
                 wide.append(i)
-        wide.sort(key=lambda i: len(pieces[i]))
+        wide.sort(key=list(map(len, pieces)).__getitem__)
         for start in range(0, len(wide), 1 << 15):
             part = wide[start : start + (1 << 15)]
             rows = [pieces[i] for i in part]
             n, width = len(rows), len(rows[-1])
             raw = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
-            size = np.fromiter(map(len, rows), np.int64, n)
-            ids = np.where(np.arange(width) < size[:, None], self.single[raw], -1).astype(np.int32)
-            rank = self.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
-            rank = np.hstack([rank, np.full((n, 1), self.NONE, np.int32)])
+            lengths = np.fromiter(map(len, rows), np.int64, n)
+            ids = np.where(np.arange(width) < lengths[:, None], self.single[raw], -1).astype(np.int32)
+            rank = np.full((n, width), self.NONE, np.int32)
+            rank[:, :-1] = np.where(np.arange(1, width) < lengths[:, None], self.byte_pairs[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]], self.NONE)
             live = np.arange(n)
             while len(live):
                 now = rank[live]
@@ -218,12 +219,12 @@ class Merger:
                 if not len(live):
                     break
                 row = np.arange(len(live))
-                shift = np.arange(width) + (np.arange(width) > at[:, None])
-                shift[:, -1] = np.minimum(shift[:, -1], width - 1)
-                text = np.take_along_axis(ids[live], shift, axis=1)
+                before = np.arange(width - 1) <= at[:, None]  # what stands behind the pair moves up
+                text = ids[live]
+                text[:, :-1] = np.where(before, text[:, :-1], text[:, 1:])
                 text[:, -1] = -1
                 text[row, at] = best
-                now = np.take_along_axis(now, shift, axis=1)
+                now[:, :-1] = np.where(before, now[:, :-1], now[:, 1:])
                 now[:, -1] = self.NONE
                 now[row, at] = self.lookup(best, text[row, np.minimum(at + 1, width - 1)])
                 inner = at > 0
@@ -231,7 +232,7 @@ class Merger:
                 ids[live], rank[live] = text, now
             count, data = (ids >= 0).sum(axis=1), ids.astype(kind)
             data, step = data.tobytes(), width * data.itemsize
-            for i, k, c in zip(part, range(n), (count * np.dtype(kind).itemsize).tolist()):
+            for i, k, c in zip(part, range(n), (count * size).tolist()):
                 out[i] = data[k * step : k * step + c]
         return out
 
