@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-CLASSES, EXACT, CHUNK = 256, 48, 12 << 20
+CLASSES, EXACT, CHUNK = 256, 48, 5 << 20
 END = b""
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Rounds of Gibbs sampling (each ends with a sample from `burn_in` on), sweeps within a round, and concentrations."""
+    """Rounds of Gibbs sampling, sweeps within a round, and concentrations.
 
-    rounds: int = 4
+    The seatings after `burn_in` rounds and after each later one are the samples.
+    """
+
+    rounds: int = 3
     burn_in: int = 2
     sweeps: int = 2
     concentration: float = 1.0
@@ -69,6 +72,7 @@ def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[-1] = end
         parts.append(h)
     h = np.concatenate(parts)
+    del parts
     before = np.empty(len(h), np.int64)
     before[0] = end & 255
     before[1:] = (h[:-1] & np.uint64(255)).astype(np.int64)
@@ -85,8 +89,12 @@ def count_rows(raws: list[bytes], buckets: int) -> Iterator[tuple[int, dict[str,
     """(bucket, arrays): distinct hashes, classes and counts of the pairs of a chunk."""
     h, before, _ = tokens_of(raws)
     words, rank = np.unique(h, return_inverse=True)
-    start, count = _runs(keys := np.sort(rank << 8 | before))
-    keys = keys[start]
+    rank <<= 8
+    rank |= before
+    rank.sort()
+    start, count = _runs(rank)
+    keys = rank[start]
+    del h, before, rank, start
     where = bucket_of(words, buckets)[keys >> 8]
     for b, a, z in _slices(where):
         own = keys[a:z] >> 8
@@ -165,7 +173,7 @@ def merged(counted: DataFrame) -> DataFrame:
                 words, sizes, classes, number = (np.frombuffer(a, k) for a, k in zip(arrays, ("<u8", "<u2", np.uint8, "<u4")))
                 parts.append((words, sizes.astype(np.int64), classes.astype(np.int64), number.astype(np.int64)))
                 held += len(classes)
-                if held > 8_000_000:  # a bucket is never held with all its repeats
+                if held > 3_000_000:  # a bucket is never held with all its repeats
                     keys, words, number = compact()
                     start, _ = _runs(keys)
                     owner = keys[start] >> 8
@@ -245,49 +253,60 @@ class Shared:
         share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
         return Shared(total[:CLASSES].astype(float), total[CLASSES : 2 * CLASSES].astype(float), int(total[-6]), int(total[-5]), share(one, two), share(root_one, root_two))
 
+    def fresh(self, s: Settings) -> np.ndarray:
+        """Share of new tables by class."""
+        return (s.concentration + self.discount * self.tables) / (s.concentration + self.customers)
+
+    def unknown(self, s: Settings) -> float:
+        """The root's probability of a word without customers."""
+        return (s.root_concentration + self.root_discount * self.root_tables) / (self.words + 1) / (s.root_concentration + self.tables.sum())
 
-def sweep(model: tuple, shared: Shared, s: Settings, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """`sweeps` Gibbs sweeps over a bucket given the other buckets' totals: (tables, root tables, pair and root probabilities)."""
+
+def sweep(model: tuple, shared: Shared, s: Settings, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """`sweeps` Gibbs sweeps over a bucket given the other buckets' totals: (tables, root tables)."""
     _, starts, classes, customers, tables, root, _, _ = model
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     low, high = log_stirling(shared.discount), log_stirling(shared.root_discount)
     others = shared.tables - np.bincount(classes, tables, CLASSES)
     others_root = shared.root_tables - root.sum()
-    uniform = 1 / (shared.words + 1)
     for _ in range(s.sweeps):
         by_class = others + np.bincount(classes, tables, CLASSES)
         root_customers = np.bincount(owner, tables, len(root))
-        all_customers, all_tables = by_class.sum(), others_root + root.sum()
-        new_root = (s.root_concentration + shared.root_discount * all_tables) * uniform
+        new_root = (s.root_concentration + shared.root_discount * (others_root + root.sum())) / (shared.words + 1)
         rest = root_customers[owner] - tables
         rest_tables = np.minimum(root[owner], rest)
-        parent = (rest - shared.root_discount * rest_tables + new_root) / (s.root_concentration + all_customers)
+        parent = (rest - shared.root_discount * rest_tables + new_root) / (s.root_concentration + by_class.sum())
         log_new = np.log((s.concentration + shared.discount * by_class[classes]) * parent)
         tables = draw_tables(customers, log_new, shared.discount, low, draw)
         root_customers = np.bincount(owner, tables, len(root)).astype(np.int64)
         root = draw_tables(root_customers, np.full(len(root), np.log(new_root)), shared.root_discount, high, draw)
-    by_class = others + np.bincount(classes, tables, CLASSES)
-    root_customers = np.bincount(owner, tables, len(root))
-    all_customers, all_tables = by_class.sum(), others_root + root.sum()
-    parent = (root_customers - shared.root_discount * root + (s.root_concentration + shared.root_discount * all_tables) * uniform) / (s.root_concentration + all_customers)
+    return tables, root
+
+
+def predictive(model: tuple, shared: Shared, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each pair, the root's of each word) of a seating, under the totals of all buckets' same seating."""
+    _, starts, classes, customers, tables, root, _, _ = model
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    served = np.bincount(owner, tables, len(root))
+    parent = (served - shared.root_discount * root) / (s.root_concentration + shared.tables.sum()) + shared.unknown(s)
     room = s.concentration + shared.customers[classes]
-    chance = (customers - shared.discount * tables + (s.concentration + shared.discount * by_class[classes]) * parent[owner]) / room
-    return tables, root, chance, parent
+    return (customers - shared.discount * tables) / room + shared.fresh(s)[classes] * parent[owner], parent
 
 
 def gibbs_round(state: DataFrame, shared: Shared, s: Settings, number: int) -> DataFrame:
-    keep = number >= s.burn_in
+    """Adds the state's sample from the burn-in on, then sweeps (the last round doesn't)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 values = [batch.column(k)[i].as_py() for k in range(9)]
                 model = _read_model(values[1:])
-                draw = np.random.default_rng([s.seed, number, values[0]])
-                tables, root, chance, parent = sweep(model, shared, s, draw)
-                words, starts, classes, customers, *_, past, roots = model
-                if keep:
+                words, starts, classes, customers, tables, root, past, roots = model
+                if number >= s.burn_in:
+                    chance, parent = predictive(model, shared, s)
                     past, roots = chance + (past if len(past) else 0.0), np.concatenate([roots, parent])
+                if number < s.rounds:
+                    tables, root = sweep(model, shared, s, np.random.default_rng([s.seed, number, values[0]]))
                 owner = np.repeat(np.arange(len(words)), np.diff(starts))
                 yield _model_row(values[0], words, starts, classes, customers, tables, root, past, roots, totals_of(classes, customers, tables, owner, root))
 
@@ -322,16 +341,16 @@ def train(training: DataFrame, buckets: int, text_col: str = "text", s: Settings
     total = sum_totals(now.read())
     tokens, words = int(total[:CLASSES].sum()), int(total[-5])
     fresh, unknown = [], []
-    for number in range(s.rounds):
+    for number in range(s.rounds + 1):
         shared = Shared.of(total)
+        if number >= s.burn_in:
+            fresh.append(shared.fresh(s))
+            unknown.append(shared.unknown(s))
         after = common.Stage(gibbs_round(now.read(), shared, s, number), "seating")
         now.drop()
         now = after
-        total = sum_totals(now.read())
-        if number >= s.burn_in:
-            end = Shared.of(total)
-            fresh.append((s.concentration + shared.discount * end.tables) / (s.concentration + shared.customers))
-            unknown.append((s.root_concentration + shared.root_discount * end.root_tables) / (words + 1) / (s.root_concentration + end.tables.sum()))
+        if number < s.rounds:
+            total = sum_totals(now.read())
     return Trained(now.read(), buckets, len(fresh), tokens, words, np.array(fresh), np.array(unknown))
 
 
@@ -345,8 +364,14 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
             h, before, doc = tokens_of(common.raw_texts(chunk.column(2)))
             row, key = (chunk.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             words, rank = np.unique(h, return_inverse=True)
-            start, count = _runs(keys := np.sort((rank << 8 | before) << 16 | doc))
-            keys = keys[start]
+            rank <<= 8
+            rank |= before
+            rank <<= 16
+            rank |= doc
+            rank.sort()
+            start, count = _runs(rank)
+            keys = rank[start]
+            del h, before, doc, rank, start
             out: list[tuple] = []
             for b, a, z in _slices(bucket_of(words, buckets)[keys >> 24]):
                 pair = keys[a:z] >> 16
