@@ -19,9 +19,9 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays.  The norm is bound once, outside the loop over the entries."""
+    bound = F.array(F.struct(F.transform(a, lambda x: x.cast("double")).alias("v"), norm(a).alias("n")))
+    return F.transform(bound, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,7 +49,9 @@ def euclidean(a: Column, b: Column) -> Column:
 def hist_to_dense(hist: Column, keys: list[str], normalize: bool = True) -> Column:
     """Counts of a map in the order of the keys, missing ones 0, at unit length if asked."""
     dense = F.transform(F.array(*(F.lit(k) for k in keys)), lambda k: F.coalesce(F.try_element_at(hist, k), F.lit(0)).cast("double"))
-    return normalized(dense) if normalize else dense
+    if not normalize:
+        return dense
+    return F.transform(F.array(dense), normalized)[0]
 
 
 def codeword(prefix: str, idx: Column) -> Column:

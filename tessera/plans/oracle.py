@@ -96,6 +96,11 @@ def statements() -> dict[str, str]:
         "dense_topk_euclidean": _minkowski("sqrt(sum(g * g))"),
         "dense_topk_chebyshev": _minkowski("max(g)"),
         "dense_topk_minkowski3": _minkowski("pow(sum(g * g * g), 1.0 / 3)"),
+        "pgvector_topk": f"WITH {TF}, {CODES}, {FEW_QUERIES}, d AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS w FROM tf WHERE term IN (SELECT term FROM codebook)), qu AS (SELECT query_id, term, CAST(tf AS DOUBLE) AS w FROM q WHERE term IN (SELECT term FROM codebook)), "
+        "dots AS (SELECT query_id, doc_id, sum(qu.w * d.w) / (any_value(qs.s) * any_value(ds.s)) AS c FROM qu JOIN d USING (term) JOIN (SELECT query_id, sqrt(sum(w * w)) AS s FROM qu GROUP BY query_id) qs USING (query_id) "
+        "JOIN (SELECT doc_id, sqrt(sum(w * w)) AS s FROM d GROUP BY doc_id) ds USING (doc_id) GROUP BY query_id, doc_id), "
+        "scored AS (SELECT query_id, doc_id, round(coalesce(c, 0), 6) AS score FROM (SELECT DISTINCT query_id FROM qu) CROSS JOIN (SELECT DISTINCT doc_id FROM d) LEFT JOIN dots USING (query_id, doc_id)) "
+        f"SELECT query_id, CAST({RANK} AS INTEGER) AS rank, doc_id, score FROM scored QUALIFY rank <= {K}",
         "sparse_dot": f"{BASE}, {FEW_QUERIES}, {UNITS} SELECT query_id, doc_id, round(sum(qu.w * d.w), 6) AS dot FROM qu JOIN d USING (term) GROUP BY query_id, doc_id",
         "fts_and_topk": f"WITH {TF}, q AS (SELECT DISTINCT item_id AS query_id, unnest(({_words('text')})[1:2]) AS term FROM benchmark), sizes AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id), "
         "hits AS (SELECT query_id, doc_id, count(*) AS k, round(avg(1 + log10(tf)), 6) AS score FROM tf JOIN q USING (term) GROUP BY query_id, doc_id), "

@@ -161,6 +161,34 @@ def sparse_dot(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.sparse_dot(similarity.vectorize_queries(_few_queries(spark, sf), tf), similarity.build_tfidf(tf)), "dot")
 
 
+def pgvector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of raw counts over the codebook, without IDF."""
+    tf = stored(_tf(spark, sf), "tf")
+    codebook = stored(terms.top_terms(tf, CODEBOOK), "codebook")
+    raw = lambda own: terms.within_codebook(own, codebook).withColumn("w", F.col("tf").cast("double")).drop("tf")
+    return similarity.top_k(stored(raw(_few_queries(spark, sf)), "queries"), stored(raw(tf), "vectors"), K, "cosine", DIGITS)
+
+
+def feature_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature vectors to codewords to an index: a label's vectors are one medium, every 20th vector a query of its own."""
+    own = embeddings(spark, sf)
+    rows = own.select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("vec_idx"), F.col("embedding").alias("features"))
+    made = pipelines.index_features(rows, CENTROIDS * 4, scratch(spark, "features"), "v")
+    asked = _vector_queries(spark, sf).select(F.col("query_id").alias("doc_id"), F.col("embedding").alias("features"))
+    return made.index.search_batch(clustering.codeword_tf(asked, made.centroids, "v").withColumnRenamed("doc_id", "query_id"), K, DIGITS)
+
+
+def etl_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the music application from the documents: index, histograms, dense vectors, ids, codebook."""
+    folder = scratch(spark, "etl")
+    texts = documents(spark, sf).select(F.col("doc_id").cast("string").alias("stem"), "text")
+    index_of = pipelines.index_text(texts, CODEBOOK, f"{folder}/lyrics", mark="\n")
+    items = documents(spark, sf).select(F.col("doc_id").cast("string").alias("stem"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("artist"), F.col("lang").alias("genre"), F.col("text").alias("lyrics_text"))
+    store = Store(spark, f"{folder}/store")
+    pipelines.load_songs(store, items, index_of)
+    return store.read("songs").select("title", "artist", F.size("lyrics_hist").alias("n_terms"), F.size("lyrics_emb").alias("n_dims"))
+
+
 def fts_and_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Conjunctive search for the first two words of each query text."""
     asked = benchmark(spark, sf).select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 2)).alias("term"))
@@ -361,7 +389,7 @@ def ranked_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 _OWN: list[Query] = [
     idf, tfidf_weights, l2_normalized, doc_norms, postings, corpus_stats, codebook_topk, codebook_filtered_tf, prepare_query, stopwords_tf, stem_tf, split_text, hist_to_dense, word_quantizer_hist,
-    row_histogram, spimi_topk, spimi_topk_batch, dense_topk_minkowski3, sparse_dot, fts_and_topk, text_index_topk, vector_cosine_topk, vector_cosine_one, lsh_topk, recall_at_k, quantize_nearest,
+    row_histogram, spimi_topk, spimi_topk_batch, dense_topk_minkowski3, sparse_dot, pgvector_topk, feature_index_topk, etl_rows, fts_and_topk, text_index_topk, vector_cosine_topk, vector_cosine_one, lsh_topk, recall_at_k, quantize_nearest,
     codeword_hist, codeword_full_hist, centroid_update, collect_full_outer, coverage_counts, pair_inner, metadata_left, not_cached, extension_priority, safe_stem, unique_stems, compose_desc,
     short_desc, first_given, append_distinct, label_counts, latency_percentiles, search_log_hours, result_envelope, codebook_upsert, stream_ingest, sampled_spans, sampled_vectors, synthetic_topk,
     demo_metrics, ranked_labels,
