@@ -451,8 +451,8 @@ def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str
 
 
 def bucket_count(df: DataFrame) -> int:
-    """4 * sqrt(input / 8 MB), between 4 and 20,000."""
-    return int(min(20_000, max(4, 4 * (common.input_partitions(df, 8 << 20) ** 0.5))))
+    """8 * sqrt(input / 8 MB), between 4 and 20,000."""
+    return int(min(20_000, max(4, 8 * (common.input_partitions(df, 8 << 20) ** 0.5))))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
