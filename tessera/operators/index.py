@@ -1,7 +1,8 @@
 """The inverted index: build, store, open and search.
 
-Stored as four tables: postings (term, doc_id, tf) range-sorted by term so that row groups are skipped for a query's terms,
-vocab (term, df), doc_norms (doc_id, norm) and corpus_stats (n_docs).
+Stored as four tables: postings (term, doc_id, tf, w, u) range-sorted by term so that row groups are skipped for a query's terms,
+vocab (term, df), doc_norms (doc_id, norm) and corpus_stats (n_docs).  w is the TF-IDF weight and u the weight at unit length of
+its document, so that a search is one join and one sum.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from tessera.operators import terms
 
 #: Query terms up to this number are looked up as literals, which reach the scan of the postings.
 LITERAL_TERMS = 500
+#: Weighted query terms up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 class InvertedIndex:
@@ -35,16 +38,20 @@ class InvertedIndex:
         if not n_docs:
             raise ValueError("the collection has no term")
         vocab = terms.document_frequency(own)
-        weighted = own.join(vocab, "term").withColumn("w", weights.tfidf(F.col("tf"), F.col("df"), F.lit(n_docs)))
-        return InvertedIndex(own, vocab, terms.norms(weighted), n_docs)
+        weighted = own.join(vocab, "term").select("term", "doc_id", "tf", weights.tfidf(F.col("tf"), F.col("df"), F.lit(n_docs)).alias("w"))
+        norms = terms.norms(weighted)
+        size = F.col("norm")
+        united = weighted.join(norms, "doc_id").select("term", "doc_id", "tf", "w", F.when(size > 0, F.col("w") / F.when(size > 0, size)).otherwise(0.0).alias("u"))
+        return InvertedIndex(united, vocab, norms, n_docs)
 
     def write(self, path: str) -> InvertedIndex:
-        """Stores the tables and opens them again."""
+        """Stores the tables and opens them again; what follows from the postings is read from them."""
         spark = self.postings.sparkSession
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
-        self.doc_norms.write.mode("overwrite").parquet(f"{path}/doc_norms")
-        spark.createDataFrame([(self.n_docs,)], "n_docs bigint").write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        held = spark.read.parquet(f"{path}/postings")
+        terms.document_frequency(held).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        terms.norms(held).write.mode("overwrite").parquet(f"{path}/doc_norms")
+        spark.createDataFrame([(self.n_docs,)], "n_docs bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return InvertedIndex.open(spark, path)
 
     @staticmethod
@@ -88,17 +95,18 @@ class InvertedIndex:
         return own.join(sized, "query_id")
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of all candidates of all queries.
-
-        The postings are reduced to the queries' terms before the join; Spark broadcasts the queries if they are small.
-        """
-        q = self.query_weights(queries)
-        hits = self.postings.join(q, "term")
-        product = F.col("wq") * weights.tfidf(F.col("tf"), F.col("df"), F.lit(self.n_docs))
-        summed = hits.groupBy("query_id", "doc_id").agg(F.sum(product).alias("dot"), F.first("q_norm").alias("q_norm"))
-        joined = summed.join(self.doc_norms, "doc_id", "left")
-        size = F.col("q_norm") * F.coalesce("norm", F.lit(0.0))
-        return joined.select("query_id", "doc_id", F.when(size > 0, F.col("dot") / F.when(size > 0, size)).otherwise(0.0).alias("score"))
+        """(query_id, doc_id, score) of all candidates of all queries."""
+        q = self.query_weights(queries).select("query_id", "term", (F.col("wq") / F.col("q_norm")).alias("wq"))
+        held = q.limit(BROADCAST_ROWS + 1).collect()
+        entries = self.postings.select("term", "doc_id", "u")
+        if len(held) <= BROADCAST_ROWS:
+            # The weighted queries are few: they go to every task, and few terms are literals of the postings' scan.
+            q = F.broadcast(self.postings.sparkSession.createDataFrame(held, q.schema))
+            wanted = sorted({r["term"] for r in held})
+            if len(wanted) <= LITERAL_TERMS:
+                entries = entries.where(F.col("term").isin(wanted))
+        hits = entries.join(q, "term")
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("u")).alias("score"))
 
     def search_batch(self, queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
         """(query_id, rank, doc_id, score): the best k of each query (query_id, term, tf)."""
@@ -125,12 +133,10 @@ class InvertedIndex:
 def best(scores: DataFrame, k: int, digits: int | None = None, descending: bool = True) -> DataFrame:
     """(query_id, rank, doc_id, score): k rows for each query, equal scores by document.
 
-    A first limit within salted parts keeps a query with many candidates from one task.
+    Spark keeps k rows for each query and partition before the shuffle (WindowGroupLimit), so no query's candidates meet in one task.
     """
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))
     order = [F.desc("score") if descending else F.asc("score"), F.col("doc_id")]
-    parts = scores.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
-    first = parts.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k).drop("r", "part")
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", "score")
