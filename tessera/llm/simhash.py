@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -62,14 +62,14 @@ def fingerprint(raw: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id_col, fp bigint) for each row."""
+    """(id_col, fp bigint, text_key bigint) for each row."""
 
     def make(chunk: pa.RecordBatch) -> pa.RecordBatch:
         values = [fingerprint(raw, width) for raw in common.raw_texts(chunk.column(1))]
-        return pa.RecordBatch.from_arrays([chunk.column(0), pa.array(values, pa.int64())], [id_col, "fp"])
+        return pa.RecordBatch.from_arrays([chunk.column(0), pa.array(values, pa.int64()), chunk.column(2)], [id_col, "fp", "text_key"])
 
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    return common.map_chunks(rows, make, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp bigint", text_col)
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), common.text_key(F.col(text_col)).alias("text_key"))
+    return common.map_chunks(rows, make, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp bigint, text_key bigint", text_col)
 
 
 def forest(points: np.ndarray, radius: int, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """(id_col, fp bigint, component_id): component_id is the smallest id that links reach."""
-    docs = common.staged(fingerprints(df, id_col, text_col, width), "fingerprints")
+    docs = common.staged(fingerprints(df, id_col, text_col, width).drop("text_key"), "fingerprints")
     groups = common.staged(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")), "groups")
     stars = components(links(groups.select("fp"), radius))
     nodes = groups.join(stars, groups.fp == stars.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -234,17 +234,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(mapped, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, docs: DataFrame, groups: DataFrame, stars: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """One row of df for each class, that of the smallest id (null ids last), then of the smallest text hash.
+
+    docs: (id, key, text_key) of each row; groups: (key, least: struct<away, id, text_key>) of each key; stars: (node, root).
+    """
+    rooted = groups.join(stars, groups[key] == stars.node, "left").select(F.coalesce("root", key).alias("root"), "least")
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.id").alias("__id"), F.col("m.text_key").alias("__key"))
+    chosen = common.staged(chosen, "chosen")
+    single = common.keep_rows(df, chosen.select(F.col("__id").alias(id_col), F.col("__key").alias("text_key")), id_col, text_col)
+    same = docs.id.eqNullSafe(chosen["__id"]) & docs.text_key.eqNullSafe(chosen["__key"])
+    if not docs.join(chosen, same, "left_semi").groupBy("id", "text_key").count().where("count > 1").limit(1).count():
+        return single
+    # Rows that repeat an id and a text: one of them stays.
+    return single.withColumn("__tessera_key", common.text_key(F.col(text_col))).dropDuplicates([id_col, "__tessera_key"]).drop("__tessera_key")
+
+
+def least_row() -> Column:
+    """The row that stays of a class, from (id, text_key): null ids last."""
+    return F.min(F.struct(F.col("id").isNull().alias("away"), "id", "text_key")).alias("least")
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each class, that of the smallest id (null ids only where a class has no other), with all columns."""
-    found = common.staged(near_duplicates(df, id_col, text_col, radius), "duplicates")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    once, more = kept.where("__n = 1"), kept.where("__n > 1")
-    single = df.join(once, df[id_col].eqNullSafe(once["__id"]), "left_semi")
-    if not more.limit(1).count():
-        return single
-    # Rows that repeat an id: one of them stays.
-    several = df.join(more, df[id_col].eqNullSafe(more["__id"]), "left_semi")
-    return single.unionByName(several.dropDuplicates([id_col]))
+    docs = common.staged(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
+    groups = common.staged(docs.groupBy("fp").agg(least_row()), "groups")
+    return one_of_each(df, docs, groups, components(links(groups.select("fp"), radius)), "fp", id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,12 @@ def test_dedup_keeps_one_row_of_a_repeated_id(spark, folder):
     assert simhash.representatives(twice).count() == 1
 
 
+def test_dedup_keeps_different_texts_of_null_and_repeated_ids(spark):
+    rows = [(i, " ".join(f"{w}{k}" for w in cases.WORDS.split()), None, None, None) for k, i in enumerate((None, None, 1, 1))]
+    kept = simhash.representatives(spark.createDataFrame(rows + rows[:3], cases.SCHEMA)).collect()
+    assert sorted(r["text"] for r in kept) == sorted(r[1] for r in rows)
+
+
 def test_redaction_takes_effect(spark):
     out = {r["doc_id"]: r for r in secrets_scan.redact(cases.documents(spark), secrets_scan.train(secrets_scan.example_findings())).collect()}
     assert "4f9c2a71be03d85e6a" not in out[8]["text"] and out[8]["n_chars"] == len(out[8]["text"])
