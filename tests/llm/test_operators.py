@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import byte_bpe, chat_format, language_model, media, packing, quality_classifier, quality_rules, secrets_scan, simhash, toxicity
+from tessera.llm import byte_bpe, chat_format, language_model, media, near_copies, packing, quality_classifier, quality_rules, secrets_scan, simhash, toxicity
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -176,6 +176,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {**{i: 1 for i in range(2, 61)}, **{1000 + i: 1000 for i in range(1, 50)}}
 
 
+def test_near_copies_of_short_and_medium_texts_are_linked(spark):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    rows, want = [], set()
+    for i in range(120):
+        words = [word() for _ in range(60 + 3 * i)]
+        rows.append((2 * i, " ".join(words)))
+        want.add(2 * i)
+        near = i % 2 == 0
+        for k in range(1 if near else len(words) // 12):  # one changed word, or shingle sets below 0.8
+            words[5 + 12 * k if not near else 30] = word()
+        rows.append((2 * i + 1, " ".join(words)))
+        sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows[-2:]]
+        assert (len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8) == near
+        want |= set() if near else {2 * i + 1}
+    kept = near_copies.representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
 # ---- language model --------------------------------------------------------------------------------------------------
 
 
