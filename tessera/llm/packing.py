@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,17 @@ def tokenizer(path: str):  # noqa: ANN201
     return own
 
 
+@lru_cache(2)
+def added_tokens(path: str):  # noqa: ANN201
+    """(the file's tokenizer as it is, a pattern of its added tokens' literals or None)."""
+    from tokenizers import Tokenizer
+
+    tokenizer(path)
+    own = Tokenizer.from_file(path)
+    literals = [re.escape(t.content) for t in own.get_added_tokens_decoder().values()]
+    return own, re.compile("|".join(literals)) if literals else None
+
+
 @lru_cache(2)
 def piece_cache(path: str) -> byte_bpe.PieceCache:
     """The memo of one tokenizer file.  Where the file's ids follow its merges, as in byte-level BPE, slices are merged
@@ -70,8 +82,14 @@ def byte_letters() -> dict[int, str]:
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text."""
-    return list(byte_bpe.encode_pieces(texts, piece_cache(path)))
+    """Ids of each text.  Texts with the literal of an added token are encoded whole by the library, which finds it first."""
+    own, found = added_tokens(path)
+    special = [i for i, t in enumerate(texts) if found is not None and found.search(t)]
+    if not special:
+        return list(byte_bpe.encode_pieces(texts, piece_cache(path)))
+    cache, whole = piece_cache(path), set(special)
+    plain = byte_bpe.encode_pieces([t for i, t in enumerate(texts) if i not in whole], cache)
+    return [np.array(own.encode(t, add_special_tokens=False).ids, cache.kind) if i in whole else next(plain) for i, t in enumerate(texts)]
 
 
 @lru_cache(2)

@@ -85,6 +85,13 @@ def test_packing_ids_equal_the_library(text):
     assert packing.encode_texts([text], JSON)[0].tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_finds_added_tokens_as_the_library_does():
+    many = ["a <|endoftext|> b", "plain text", "", "<|endoftext|><|endoftext|>\n\nx", "<|endoftext"]
+    own = Tokenizer.from_file(JSON)
+    assert [x.tolist() for x in packing.encode_texts(many, JSON)] == [own.encode(t, add_special_tokens=False).ids for t in many]
+    assert 50256 in packing.encode_texts(many, JSON)[0]
+
+
 def test_packing_query(spark, texts):
     own = Tokenizer.from_file(JSON)
     own.encode_special_tokens = True
