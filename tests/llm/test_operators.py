@@ -404,6 +404,15 @@ def test_quality_counts_by_brute_force(spark, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_clean_documents_of_a_fifth_language_are_kept(spark):
+    draw = random.Random(7)
+    text = lambda letters: " ".join("".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(150))
+    latin, greek = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω"
+    rows = [(i, text(latin), "en") for i in range(60)] + [(100 + i, text(greek), "el") for i in range(40)] + [(200, text(greek), None), (300, text("0123456789#*"), "el")]
+    kept = {r["doc_id"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - {300}
+
+
 def test_js_distance():
     p = np.array([[4, 0, 0], [1, 1, 2], [0, 0, 0]])
     q = np.array([[0, 0.5, 0.5], [0.25, 0.25, 0.5], [1, 0, 0]])
