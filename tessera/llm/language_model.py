@@ -1,16 +1,21 @@
 """LM scoring (operator 3): a hierarchical Pitman-Yor model, sampled by Gibbs, gives texts their log probability.
 
-Restaurants: CLASSES context restaurants, one for each hash class of the preceding token, share one parent restaurant, whose
-base is uniform over the known words and one unknown.  A customer is a token; tables of a context restaurant are the
-parent's customers.  Seating is kept as the number of tables of each (context, word): a Gibbs step draws that number from
-its conditional given all other seatings, by generalised Stirling numbers up to EXACT customers and, beyond, by seating
-the further customers in growing blocks.  Predictive probabilities are averaged over samples.
-
-Everything about a word lies in the word's hash bucket, at most CLASSES pairs a word, so no word is a hot key.  Only the
-restaurants' totals (CLASSES numbers) are shared between buckets; they are summed anew in each round, and each round's
-state is a table in the shared folder.  Documents are turned into rows of counts for each chunk and bucket, so that copies
-and frequent words are summed before the shuffle.  The number of buckets follows the square root of the input, as
-vocabularies do; the model grows with the corpus.
+Restaurants: one for each context, where a context is 2**bits classes of the preceding token: its ending (last two bytes, 256
+classes) and a hash of the word.  `context_bits` gives half a bit more for each doubling of the input, so that contexts grow with the
+vocabulary (16,384 of them at 0.1 GB, 2**24 at 100 TB) and a frequent word has, nearly, a context of its own.  Contexts of one ending share a parent restaurant,
+the parents share the root, and the root's base is uniform over the known words and one unknown.  A customer is a token; tables
+of a restaurant are its parent's customers.
+
+Seating is kept as the number of tables of each (context, word), (ending, word) and word.  A Gibbs step draws such a number from
+its conditional given the others (module `seating`: the same distribution at every size).  Two simplifications: the parent's
+probability doesn't change within one draw, and the contexts of a word are drawn in BLOCKS blocks, each given all others, one
+block at once.  Predictive shares are averaged over samples, level by level; the averages of a context sum to one, too.
+
+Everything about a word lies in the word's hash bucket.  Only the restaurants' totals are shared between buckets: arrays of 2**bits
+numbers, summed anew in each round; each round's state is a table in the shared folder.  Documents are turned into rows of
+counts for each chunk and bucket, so that copies and frequent words are summed before the shuffle.  In scoring, buckets with more
+than their share of tokens (that of the end token, say) are dealt over salts, each with a copy of the bucket's model.  The
+number of buckets follows the input.
 
 Words are told apart by 64-bit hashes (XXH64).
 
@@ -29,9 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, seating
 
-CLASSES, EXACT, CHUNK = 256, 48, 5 << 20
+PARENTS, BLOCKS, CHUNK, SLICE = 256, 4, 5 << 20, 1 << 14
 END = b""
 
 
@@ -42,7 +47,7 @@ class Settings:
     The seatings after `burn_in` rounds and after each later one are the samples.
     """
 
-    rounds: int = 3
+    rounds: int = 4
     burn_in: int = 2
     sweeps: int = 2
     concentration: float = 1.0
@@ -59,23 +64,31 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class of the token before, text number) of all tokens; the first token follows an end."""
+def tokens_of(raws: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, context, text number) of all tokens; the first token follows an end."""
     digest = xxhash.xxh64_intdigest
     end = digest(END)
-    parts, sizes = [], np.empty(len(raws), np.int64)
+    parts, endings, sizes = [], [], np.empty(len(raws), np.int64)
     for i, raw in enumerate(raws):
         words = raw.lower().split()
-        sizes[i] = len(words) + 1
-        h = np.empty(len(words) + 1, np.uint64)
-        h[:-1] = np.fromiter(map(digest, words), np.uint64, len(words))
+        n = len(words)
+        sizes[i] = n + 1
+        h = np.empty(n + 1, np.uint64)
+        h[:-1] = np.fromiter(map(digest, words), np.uint64, n)
         h[-1] = end
         parts.append(h)
-    h = np.concatenate(parts)
-    del parts
+        last = np.zeros(n + 1, np.int64)
+        if n:
+            data = np.frombuffer(b" " + b" ".join(words), np.uint8)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+            last[:-1] = data[ends].astype(np.int64) * 31 + data[ends - 1]
+        endings.append(last)
+    h, last = np.concatenate(parts), np.concatenate(endings)
+    del parts, endings
+    own = ((last * 0x9E3779B1) >> 13 & (PARENTS - 1)) << (bits - 8) | (h & np.uint64((1 << (bits - 8)) - 1)).astype(np.int64)
     before = np.empty(len(h), np.int64)
-    before[0] = end & 255
-    before[1:] = (h[:-1] & np.uint64(255)).astype(np.int64)
+    before[0] = end & ((1 << (bits - 8)) - 1)
+    before[1:] = own[:-1]
     return h, before, np.repeat(np.arange(len(raws)), sizes)
 
 
@@ -85,27 +98,36 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_keys)))
 
 
-def count_rows(raws: list[bytes], buckets: int) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """(bucket, arrays): distinct hashes, classes and counts of the pairs of a chunk."""
-    h, before, _ = tokens_of(raws)
+def _slices(where: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    start, size = _runs(where)
+    for a, n in zip(start.tolist(), size.tolist()):
+        yield int(where[a]), a, a + n
+
+
+def _split(contexts: np.ndarray) -> tuple[bytes, bytes]:
+    """Contexts as low 16 and high 8 bits."""
+    return (contexts & 0xFFFF).astype("<u2").tobytes(), (contexts >> 16).astype(np.uint8).tobytes()
+
+
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
+
+
+def count_rows(raws: list[bytes], buckets: int, bits: int) -> Iterator[tuple]:
+    """(bucket, words, sizes, low, high, counts): distinct hashes, contexts and counts of the pairs of a chunk."""
+    h, before, _ = tokens_of(raws, bits)
     words, rank = np.unique(h, return_inverse=True)
-    rank <<= 8
+    rank <<= bits
     rank |= before
     rank.sort()
     start, count = _runs(rank)
     keys = rank[start]
     del h, before, rank, start
-    where = bucket_of(words, buckets)[keys >> 8]
+    where = bucket_of(words, buckets)[keys >> bits]
     for b, a, z in _slices(where):
-        own = keys[a:z] >> 8
+        own = keys[a:z] >> bits
         first, size = _runs(own)
-        yield b, {"words": words[own[first]].tobytes(), "sizes": size.astype("<u2").tobytes(), "classes": (keys[a:z] & 255).astype(np.uint8).tobytes(), "counts": count[a:z].astype("<u4").tobytes()}
-
-
-def _slices(where: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    start, size = _runs(where)
-    for a, n in zip(start.tolist(), size.tolist()):
-        yield int(where[a]), a, a + n
+        yield b, words[own[first]].tobytes(), size.astype("<u4").tobytes(), *_split(keys[a:z] & ((1 << bits) - 1)), count[a:z].astype("<u4").tobytes()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -114,257 +136,347 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             yield chunk.slice(i, 60_000)
 
 
-def counts(training: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    names = ["words", "sizes", "classes", "counts"]
+def counts(training: DataFrame, buckets: int, bits: int, text_col: str) -> DataFrame:
+    names = ["words", "sizes", "low", "high", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, text_col):
-            rows = list(count_rows(common.raw_texts(chunk.column(0)), buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([r[n] for _, r in rows], pa.binary()) for n in names)], ["bucket", *names])
+            columns = list(zip(*count_rows(common.raw_texts(chunk.column(0)), buckets, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *names])
 
     return common.map_arrow(training.select(text_col), run, "bucket int, " + ", ".join(f"{n} binary" for n in names))
 
 
-#: A bucket's model: distinct words and first pair of each (with the end), then by pair class, customers, tables and summed
-#: probability, by word tables of the root and the root's probability in each sample, and the totals it adds.
-MODEL = "bucket int, words binary, starts binary, classes binary, customers binary, tables binary, root_tables binary, chance binary, roots binary, totals array<bigint>"
-#: Totals: customers and tables by class, then root tables, known words, pairs of one and of two customers, words of one and of two root customers.
-TOTALS = 2 * CLASSES + 6
+#: A bucket's model: distinct words and first pair of each (with the end); by pair context, customers and tables; by (ending, word)
+#: and by word tables; then summed shares of seated customers by pair, (ending, word) and word.
+FIELDS = ["words", "starts", "low", "high", "customers", "tables", "mid_tables", "root_tables", "seen", "mid_seen", "root_seen"]
+KINDS = ["<u8", "<u8", "<u2", "u1", "<u8", "<u8", "<u8", "<u8", "<f8", "<f8", "<f8"]
+MODEL = "bucket int, " + ", ".join(f"{n} binary" for n in FIELDS)
 
 
-def totals_of(classes: np.ndarray, customers: np.ndarray, tables: np.ndarray, owner: np.ndarray, root_tables: np.ndarray) -> np.ndarray:
-    total = np.zeros(TOTALS, np.int64)
-    total[:CLASSES] = np.bincount(classes, customers, CLASSES)
-    total[CLASSES : 2 * CLASSES] = np.bincount(classes, tables, CLASSES)
-    known = np.bincount(owner, tables, len(root_tables))
-    total[2 * CLASSES :] = root_tables.sum(), (known > 0).sum(), (customers == 1).sum(), (customers == 2).sum(), (known == 1).sum(), (known == 2).sum()
-    return total
+@dataclass
+class Bucket:
+    """One bucket's seating.  mids are the (ending, word) pairs: runs of the pairs, as contexts begin with the ending."""
+
+    bits: int
+    words: np.ndarray
+    starts: np.ndarray
+    contexts: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+    mid_tables: np.ndarray
+    root_tables: np.ndarray
+    seen: np.ndarray
+    mid_seen: np.ndarray
+    root_seen: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.owner = np.repeat(np.arange(len(self.words)), np.diff(self.starts))
+        self.mid_first, size = _runs(self.owner << 8 | self.contexts >> (self.bits - 8))
+        self.mid = np.repeat(np.arange(len(size)), size)
+        self.mid_owner = self.owner[self.mid_first]
+        self.mid_ending = self.contexts[self.mid_first] >> (self.bits - 8)
+
+    @staticmethod
+    def fresh(bits: int, words: np.ndarray, starts: np.ndarray, contexts: np.ndarray, customers: np.ndarray) -> Bucket:
+        """Every pair with one table."""
+        none = np.zeros(0)
+        b = Bucket(bits, words, starts, contexts, customers, np.ones(len(customers), np.int64), none, np.ones(len(words), np.int64), none, none, none)
+        b.mid_tables = np.ones(len(b.mid_first), np.int64)
+        return b
+
+    @staticmethod
+    def read(bits: int, values: list[bytes]) -> Bucket:
+        a = {n: np.frombuffer(v, k) for n, v, k in zip(FIELDS, values, KINDS)}
+        whole = {n: a[n].astype(np.int64) for n in ("starts", "customers", "tables", "mid_tables", "root_tables")}
+        return Bucket(bits, words=a["words"], contexts=a["low"].astype(np.int64) | a["high"].astype(np.int64) << 16, seen=a["seen"], mid_seen=a["mid_seen"], root_seen=a["root_seen"], **whole)
 
+    def row(self, number: int) -> pa.RecordBatch:
+        low, high = _split(self.contexts)
+        data = [low if n == "low" else high if n == "high" else getattr(self, n).astype(k).tobytes() for n, k in zip(FIELDS, KINDS)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["bucket", *FIELDS])
 
-def merged(counted: DataFrame) -> DataFrame:
+    def mid_customers(self) -> np.ndarray:
+        return np.add.reduceat(self.tables, self.mid_first)
+
+    def root_customers(self) -> np.ndarray:
+        return np.bincount(self.mid_owner, self.mid_tables, len(self.words)).astype(np.int64)
+
+    def explicit(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs and mids can have more than one customer; the others' shares follow from the totals."""
+        many = self.customers > 1
+        return many, np.add.reduceat(self.customers, self.mid_first) > 1
+
+
+def merged(counted: DataFrame, buckets: int, bits: int) -> DataFrame:
     """The model's first state: one row for each bucket, each pair with one table."""
 
     def make(bucket: int, keys: np.ndarray, words: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
         start, _ = _runs(keys)
-        classes = (keys[start] & 255).astype(np.uint8)
-        owner = keys[start] >> 8
-        customers = np.add.reduceat(number, start)
-        tables = np.ones(len(start), np.int64)
-        first = np.append(_runs(owner)[0], len(owner))
-        root = np.ones(len(words), np.int64)
-        return _model_row(bucket, words, first, classes, customers, tables, root, np.zeros(0), np.zeros(0), totals_of(classes, customers, tables, owner, root))
+        first = np.append(_runs(keys[start] >> bits)[0], len(start))
+        return Bucket.fresh(bits, words, first, keys[start] & ((1 << bits) - 1), np.add.reduceat(number, start)).row(bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = None, [], 0
 
         def compact() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             words = np.unique(np.concatenate([w for w, *_ in parts]))
-            keys = np.concatenate([np.repeat(np.searchsorted(words, w), s) << 8 | c for w, s, c, _ in parts])
+            keys = np.concatenate([np.repeat(np.searchsorted(words, w), s) << bits | c for w, s, c, _ in parts])
             number = np.concatenate([n for *_, n in parts])
+            parts.clear()
             order = np.argsort(keys, kind="stable")
             return keys[order], words, number[order]
 
         for batch in batches:
-            for bucket, *arrays in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for bucket, *arrays in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if bucket != now:
                     if parts:
                         yield make(now, *compact())
                     now, parts, held = bucket, [], 0
-                words, sizes, classes, number = (np.frombuffer(a, k) for a, k in zip(arrays, ("<u8", "<u2", np.uint8, "<u4")))
-                parts.append((words, sizes.astype(np.int64), classes.astype(np.int64), number.astype(np.int64)))
-                held += len(classes)
+                words, sizes, number = (np.frombuffer(arrays[i], k) for i, k in ((0, "<u8"), (1, "<u4"), (4, "<u4")))
+                contexts = _joined(arrays[2], arrays[3])
+                parts.append((words, sizes.astype(np.int64), contexts, number.astype(np.int64)))
+                held += len(contexts)
                 if held > 3_000_000:  # a bucket is never held with all its repeats
                     keys, words, number = compact()
                     start, _ = _runs(keys)
-                    owner = keys[start] >> 8
-                    parts = [(words, np.diff(np.append(_runs(owner)[0], len(owner))), keys[start] & 255, np.add.reduceat(number, start))]
+                    owner = keys[start] >> bits
+                    parts = [(words, np.diff(np.append(_runs(owner)[0], len(owner))), keys[start] & ((1 << bits) - 1), np.add.reduceat(number, start))]
                     held = len(start) // 2
         if parts:
             yield make(now, *compact())
 
-    return common.map_arrow(counted.repartition("bucket").sortWithinPartitions("bucket"), run, MODEL)
-
-
-def _model_row(bucket: int, words: np.ndarray, starts: np.ndarray, classes: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray, chance: np.ndarray, roots: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    arrays = [words, starts.astype("<u4"), classes, customers.astype("<u4"), tables.astype("<u4"), root.astype("<u4"), chance, roots]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([total.tolist()], pa.list_(pa.int64()))],
-        ["bucket", "words", "starts", "classes", "customers", "tables", "root_tables", "chance", "roots", "totals"],
-    )
-
-
-def _read_model(values: list) -> tuple:
-    kinds = ("<u8", "<u4", np.uint8, "<u4", "<u4", "<u4", "<f8", "<f8")
-    words, starts, classes, customers, tables, root, chance, roots = (np.frombuffer(v, k) for v, k in zip(values, kinds))
-    return words, starts.astype(np.int64), classes, customers.astype(np.int64), tables.astype(np.int64), root.astype(np.int64), chance, roots
-
-
-def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
-    """log of the generalised Stirling numbers S(c, t): weights of c customers at t tables."""
-    table = np.full((most + 1, most + 1), -np.inf)
-    table[1, 1] = 0.0
-    t = np.arange(1, most + 1)
-    with np.errstate(divide="ignore"):
-        for c in range(1, most):
-            table[c + 1, 1:] = np.logaddexp(table[c, :-1], np.log(np.maximum(c - discount * t, 0)) + table[c, 1:])
-    return table
-
-
-def draw_tables(customers: np.ndarray, log_new: np.ndarray, discount: float, stirling: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    """Tables of each dish from P(t) ~ S(customers, t) * exp(t * log_new); one customer has one table."""
-    tables = np.minimum(customers, 1)
-    first = np.minimum(customers, EXACT)
-    order = np.argsort(first, kind="stable")
-    sizes = first[order]
-    at = np.searchsorted(sizes, np.arange(2, EXACT + 2))
-    for c, a, z in zip(range(2, EXACT + 1), at[:-1].tolist(), at[1:].tolist()):
-        for i in range(a, z, 1 << 16):
-            own = order[i : min(z, i + (1 << 16))]
-            weight = stirling[c, 1 : c + 1] + log_new[own, None] * np.arange(1, c + 1)
-            noise = -np.log(draw.standard_exponential(weight.shape))
-            tables[own] = (weight + noise).argmax(axis=1) + 1
-    more = np.flatnonzero(customers > EXACT)
-    done = np.full(len(more), EXACT)
-    fresh = np.exp(np.minimum(log_new[more], 30))
-    while len(more):
-        block = np.minimum(np.maximum(1, done // 20), customers[more] - done)
-        p = fresh / (fresh + np.maximum(done - discount * tables[more], 1e-9))
-        tables[more] += draw.binomial(block, p)
-        done = done + block
-        left = done < customers[more]
-        more, done, fresh = more[left], done[left], fresh[left]
-    return tables
+    return common.map_arrow(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, MODEL)
 
 
 @dataclass(frozen=True)
 class Shared:
-    """Totals of all restaurants at the start of a round, and the discounts."""
+    """Totals of all restaurants at the start of a round, and the discounts of contexts, endings and root."""
 
     customers: np.ndarray
     tables: np.ndarray
+    mid_tables: np.ndarray
     root_tables: int
     words: int
-    discount: float
-    root_discount: float
+    discounts: tuple[float, float, float]
 
-    @staticmethod
-    def of(total: np.ndarray) -> Shared:
-        one, two, root_one, root_two = (int(x) for x in total[-4:])
-        share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
-        return Shared(total[:CLASSES].astype(float), total[CLASSES : 2 * CLASSES].astype(float), int(total[-6]), int(total[-5]), share(one, two), share(root_one, root_two))
+    @property
+    def mid_customers(self) -> np.ndarray:
+        return self.tables.reshape(PARENTS, -1).sum(axis=1)
+
+    @property
+    def root_customers(self) -> float:
+        return float(self.mid_tables.sum())
 
-    def fresh(self, s: Settings) -> np.ndarray:
-        """Share of new tables by class."""
-        return (s.concentration + self.discount * self.tables) / (s.concentration + self.customers)
+    @staticmethod
+    def of(total: np.ndarray, bits: int) -> Shared:
+        n = 1 << bits
+        rest = total[2 * n + PARENTS :]
+        share = lambda a, b: min(0.9, max(0.05, a / (a + 2 * b))) if a + b else 0.5
+        discounts = tuple(share(int(rest[i]), int(rest[i + 1])) for i in (2, 4, 6))
+        return Shared(total[:n].astype(float), total[n : 2 * n].astype(float), total[2 * n : 2 * n + PARENTS].astype(float), int(rest[0]), int(rest[1]), discounts)
+
+    def fresh(self, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """Share of new tables by context, and by ending."""
+        a, b, _ = self.discounts
+        return (s.concentration + a * self.tables) / (s.concentration + self.customers), (s.concentration + b * self.mid_tables) / (s.concentration + self.mid_customers)
 
     def unknown(self, s: Settings) -> float:
         """The root's probability of a word without customers."""
-        return (s.root_concentration + self.root_discount * self.root_tables) / (self.words + 1) / (s.root_concentration + self.tables.sum())
+        return (s.root_concentration + self.discounts[2] * self.root_tables) / (self.words + 1) / (s.root_concentration + self.root_customers)
+
 
+def totals_of(b: Bucket, total: np.ndarray) -> None:
+    """Adds a bucket: customers and tables by context, tables by ending, root tables, words, and customers of one and two at each level."""
+    n = 1 << b.bits
+    total[:n] += np.bincount(b.contexts, b.customers, n).astype(np.int64)
+    total[n : 2 * n] += np.bincount(b.contexts, b.tables, n).astype(np.int64)
+    total[2 * n : 2 * n + PARENTS] += np.bincount(b.mid_ending, b.mid_tables, PARENTS).astype(np.int64)
+    mid, root = b.mid_customers(), b.root_customers()
+    total[2 * n + PARENTS :] += [b.root_tables.sum(), len(b.words), *((x == k).sum() for x in (b.customers, mid, root) for k in (1, 2))]
 
-def sweep(model: tuple, shared: Shared, s: Settings, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """`sweeps` Gibbs sweeps over a bucket given the other buckets' totals: (tables, root tables)."""
-    _, starts, classes, customers, tables, root, _, _ = model
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    low, high = log_stirling(shared.discount), log_stirling(shared.root_discount)
-    others = shared.tables - np.bincount(classes, tables, CLASSES)
-    others_root = shared.root_tables - root.sum()
+
+def sum_totals(state: DataFrame, bits: int) -> np.ndarray:
+    """The buckets' totals, summed on the executors slice by slice: 2 * 2**bits + PARENTS + 8 numbers come to the driver."""
+    size = 2 * (1 << bits) + PARENTS + 8
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = [batch.column(k)[i].as_py() for k in range(8)]
+                totals_of(Bucket.read(bits, [*values, b"", b"", b""]), total)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(-(-size // SLICE)), pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in range(0, size, SLICE)], pa.binary())], ["slice", "numbers"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(numbers, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "numbers"])
+
+    kind = "slice int, numbers binary"
+    rows = common.map_arrow(common.map_arrow(state.select(*FIELDS[:8]), add, kind).repartition("slice"), merge, kind).collect()
+    total = np.zeros(size, np.int64)
+    for r in rows:
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["numbers"], np.int64)
+    return total
+
+
+def sweep(b: Bucket, shared: Shared, s: Settings, draw: np.random.Generator) -> None:
+    """`sweeps` Gibbs sweeps over a bucket given the other buckets' totals."""
+    n = 1 << b.bits
+    leaf, middle, top = shared.discounts
+    stirling = [seating.log_stirling(d) for d in shared.discounts]
+    others = shared.tables - np.bincount(b.contexts, b.tables, n)
+    others_mid = shared.mid_tables - np.bincount(b.mid_ending, b.mid_tables, PARENTS)
+    others_root = shared.root_tables - b.root_tables.sum()
+    free = b.customers > 1  # one customer has one table
+    blocks = [np.flatnonzero(free & (b.contexts % BLOCKS == k)) for k in range(BLOCKS)]
     for _ in range(s.sweeps):
-        by_class = others + np.bincount(classes, tables, CLASSES)
-        root_customers = np.bincount(owner, tables, len(root))
-        new_root = (s.root_concentration + shared.root_discount * (others_root + root.sum())) / (shared.words + 1)
-        rest = root_customers[owner] - tables
-        rest_tables = np.minimum(root[owner], rest)
-        parent = (rest - shared.root_discount * rest_tables + new_root) / (s.root_concentration + by_class.sum())
-        log_new = np.log((s.concentration + shared.discount * by_class[classes]) * parent)
-        tables = draw_tables(customers, log_new, shared.discount, low, draw)
-        root_customers = np.bincount(owner, tables, len(root)).astype(np.int64)
-        root = draw_tables(root_customers, np.full(len(root), np.log(new_root)), shared.root_discount, high, draw)
-    return tables, root
-
-
-def predictive(model: tuple, shared: Shared, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each pair, the root's of each word) of a seating, under the totals of all buckets' same seating."""
-    _, starts, classes, customers, tables, root, _, _ = model
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    served = np.bincount(owner, tables, len(root))
-    parent = (served - shared.root_discount * root) / (s.root_concentration + shared.tables.sum()) + shared.unknown(s)
-    room = s.concentration + shared.customers[classes]
-    return (customers - shared.discount * tables) / room + shared.fresh(s)[classes] * parent[owner], parent
-
-
-def gibbs_round(state: DataFrame, shared: Shared, s: Settings, number: int) -> DataFrame:
+        for own in blocks:
+            if not len(own):
+                continue
+            tables = others + np.bincount(b.contexts, b.tables, n)
+            by_ending = tables.reshape(PARENTS, -1).sum(axis=1)
+            mid_totals = others_mid + np.bincount(b.mid_ending, b.mid_tables, PARENTS)
+            mid, root = b.mid_customers()[b.mid[own]], b.root_customers()[b.owner[own]]
+            mid_tables, root_tables = b.mid_tables[b.mid[own]], b.root_tables[b.owner[own]]
+            # Without this pair's tables: a parent they alone feed has no tables, nor the root those.
+            rest = mid - b.tables[own]
+            root = root - np.where(rest > 0, 0, mid_tables)
+            mid_tables, root_tables = np.minimum(mid_tables, rest), np.minimum(root_tables, root)
+            base = (s.root_concentration + top * (others_root + b.root_tables.sum())) / (shared.words + 1)
+            at_root = (root - top * root_tables + base) / (s.root_concentration + mid_totals.sum())
+            ending, context = b.contexts[own] >> (b.bits - 8), b.contexts[own]
+            room = s.concentration + np.maximum(by_ending[ending] - b.tables[own], 0)
+            parent = (rest - middle * mid_tables + (s.concentration + middle * mid_totals[ending]) * at_root) / room
+            log_new = np.log((s.concentration + leaf * (tables[context] - b.tables[own])) * parent)
+            b.tables[own] = seating.draw_tables(b.customers[own], b.tables[own], log_new, leaf, stirling[0], draw)
+        mid = b.mid_customers()
+        for k in range(BLOCKS):
+            own = np.flatnonzero(b.mid_ending % BLOCKS == k)
+            if not len(own):
+                continue
+            mid_totals = others_mid + np.bincount(b.mid_ending, b.mid_tables, PARENTS)
+            root = b.root_customers()[b.mid_owner[own]] - b.mid_tables[own]
+            root_tables = np.minimum(b.root_tables[b.mid_owner[own]], root)
+            base = (s.root_concentration + top * (others_root + b.root_tables.sum())) / (shared.words + 1)
+            at_root = (root - top * root_tables + base) / (s.root_concentration + np.maximum(mid_totals.sum() - b.mid_tables[own], 0))
+            log_new = np.log((s.concentration + middle * (mid_totals[b.mid_ending[own]] - b.mid_tables[own])) * at_root)
+            b.mid_tables[own] = seating.draw_tables(mid[own], np.minimum(b.mid_tables[own], mid[own]), log_new, middle, stirling[1], draw)
+        root = b.root_customers()
+        base = (s.root_concentration + top * (others_root + b.root_tables.sum() - b.root_tables)) / (shared.words + 1)
+        b.root_tables = seating.draw_tables(root, np.minimum(b.root_tables, root), np.log(base), top, stirling[2], draw)
+
+
+def add_sample(b: Bucket, shared: Shared, s: Settings) -> None:
+    """Adds the seating's shares of seated customers, under the totals of all buckets' same seating, for what can vary."""
+    leaf, middle, top = shared.discounts
+    pairs, mids = b.explicit()
+    seen = (b.customers - leaf * b.tables)[pairs] / (s.concentration + shared.customers[b.contexts[pairs]])
+    mid = (b.mid_customers() - middle * b.mid_tables)[mids] / (s.concentration + shared.mid_customers[b.mid_ending[mids]])
+    root = (b.root_customers() - top * b.root_tables) / (s.root_concentration + shared.root_customers)
+    b.seen, b.mid_seen, b.root_seen = (new + (old if len(old) else 0.0) for new, old in ((seen, b.seen), (mid, b.mid_seen), (root, b.root_seen)))
+
+
+def gibbs_round(state: DataFrame, shared: Shared, s: Settings, number: int, bits: int) -> DataFrame:
     """Adds the state's sample from the burn-in on, then sweeps (the last round doesn't)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values = [batch.column(k)[i].as_py() for k in range(9)]
-                model = _read_model(values[1:])
-                words, starts, classes, customers, tables, root, past, roots = model
+                values = [batch.column(k)[i].as_py() for k in range(len(FIELDS) + 1)]
+                b = Bucket.read(bits, values[1:])
                 if number >= s.burn_in:
-                    chance, parent = predictive(model, shared, s)
-                    past, roots = chance + (past if len(past) else 0.0), np.concatenate([roots, parent])
+                    add_sample(b, shared, s)
                 if number < s.rounds:
-                    tables, root = sweep(model, shared, s, np.random.default_rng([s.seed, number, values[0]]))
-                owner = np.repeat(np.arange(len(words)), np.diff(starts))
-                yield _model_row(values[0], words, starts, classes, customers, tables, root, past, roots, totals_of(classes, customers, tables, owner, root))
+                    sweep(b, shared, s, np.random.default_rng([s.seed, number, values[0]]))
+                yield b.row(values[0])
 
     return common.map_arrow(state, run, MODEL)
 
 
-def sum_totals(state: DataFrame) -> np.ndarray:
-    """The buckets' totals, summed on the executors: TOTALS numbers come to the driver."""
-    rows = state.select(F.posexplode("totals").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(TOTALS, np.int64)
-    for r in rows:
-        total[r["i"]] = r["n"]
-    return total
-
-
 @dataclass(frozen=True)
 class Trained:
     """The sampled model: its buckets' table, and what all buckets share."""
 
     state: DataFrame
     buckets: int
+    bits: int
     samples: int
     tokens: int
     words: int
-    #: For each sample: share of new tables by class, and the root's probability of a word without customers.
+    concentration: float
+    #: Means over samples: share of new tables by context and by ending, the root's probability of a word without customers, what
+    #: one customer alone at its table has of its context's and of its ending's share.
     fresh: np.ndarray
-    unknown: np.ndarray
-
-
-def train(training: DataFrame, buckets: int, text_col: str = "text", s: Settings = Settings()) -> Trained:
-    now = common.Stage(merged(counts(training, buckets, text_col)), "seating")
-    total = sum_totals(now.read())
-    tokens, words = int(total[:CLASSES].sum()), int(total[-5])
-    fresh, unknown = [], []
+    mid_fresh: np.ndarray
+    unknown: float
+    alone: np.ndarray
+    mid_alone: np.ndarray
+
+    def shares(self, b: Bucket) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean share of seated customers of each pair, mid and word (the latter with the base's part)."""
+        pairs, mids = b.explicit()
+        seen, mid = self.alone[b.contexts], self.mid_alone[b.mid_ending]
+        seen[pairs], mid[mids] = b.seen / self.samples, b.mid_seen / self.samples
+        return seen, mid, b.root_seen / self.samples + self.unknown
+
+
+def train(training: DataFrame, buckets: int, bits: int = 14, text_col: str = "text", s: Settings = Settings()) -> Trained:
+    now = common.Stage(merged(counts(training, buckets, bits, text_col), buckets, bits), "seating")
+    total = sum_totals(now.read(), bits)
+    n = 1 << bits
+    tokens, words = int(total[:n].sum()), int(total[2 * n + PARENTS + 1])
+    samples: list[tuple] = []
     for number in range(s.rounds + 1):
-        shared = Shared.of(total)
+        shared = Shared.of(total, bits)
         if number >= s.burn_in:
-            fresh.append(shared.fresh(s))
-            unknown.append(shared.unknown(s))
-        after = common.Stage(gibbs_round(now.read(), shared, s, number), "seating")
+            alone, mid_alone = ((1 - d) / (s.concentration + c) for d, c in zip(shared.discounts, (shared.customers, shared.mid_customers)))
+            samples.append((*shared.fresh(s), shared.unknown(s), alone, mid_alone))
+        after = common.Stage(gibbs_round(now.read(), shared, s, number, bits), "seating")
         now.drop()
         now = after
         if number < s.rounds:
-            total = sum_totals(now.read())
-    return Trained(now.read(), buckets, len(fresh), tokens, words, np.array(fresh), np.array(unknown))
+            total = sum_totals(now.read(), bits)
+    return Trained(now.read(), buckets, bits, len(samples), tokens, words, s.concentration, *(sum(x) / len(samples) for x in zip(*samples)))
 
 
-def requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, words, sizes, classes, entries, docs, numbers, ids, rows) from (row, id, text): for each chunk and bucket the
-    pairs, how many documents have each, which documents, and how often; ids and rows are the documents' own."""
-    names = ["words", "sizes", "classes", "entries", "docs", "numbers", "ids", "rows"]
+def salts_of(model: Trained) -> dict[int, int]:
+    """How many salts a bucket's requests are dealt over, where more than one: its tokens over twice the mean of buckets."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.frombuffer(x, "<u8").sum()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    mean = max(1, model.tokens // model.buckets)
+    heavy = common.map_arrow(model.state.select("bucket", "customers"), weigh, "bucket int, n bigint").where(F.col("n") > 2 * mean)
+    return {r["bucket"]: -(-r["n"] // mean) for r in heavy.collect()}  # fewer than half the buckets
+
+
+def requests(docs: DataFrame, buckets: int, bits: int, salts: dict[int, int]) -> DataFrame:
+    """Rows for each chunk and bucket from (row, id, text): the pairs, how many documents have each, which documents of the chunk, and how often.
+
+    `first` is the row number of the chunk's first document; ids travel with the end token, which every document has once.
+    """
+    names = ["words", "sizes", "low", "high", "entries", "docs", "numbers", "ids"]
+    end = int(bucket_of(np.array([xxhash.xxh64_intdigest(END)], np.uint64), buckets)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for chunk in _chunks(batches, "text"):
-            h, before, doc = tokens_of(common.raw_texts(chunk.column(2)))
-            row, key = (chunk.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            row = chunk.column(0).to_numpy(zero_copy_only=False)
+            if row[-1] - row[0] != len(row) - 1:
+                raise ValueError("rows of a chunk must be numbered one after another")
+            missing = chunk.column(1).is_null().to_numpy(zero_copy_only=False)
+            ids = chunk.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + missing.astype(np.uint8).tobytes()
+            h, before, doc = tokens_of(common.raw_texts(chunk.column(2)), bits)
             words, rank = np.unique(h, return_inverse=True)
-            rank <<= 8
+            rank <<= bits
             rank |= before
             rank <<= 16
             rank |= doc
@@ -373,17 +485,68 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
             keys = rank[start]
             del h, before, doc, rank, start
             out: list[tuple] = []
-            for b, a, z in _slices(bucket_of(words, buckets)[keys >> 24]):
+            for b, a, z in _slices(bucket_of(words, buckets)[keys >> (bits + 16)]):
                 pair = keys[a:z] >> 16
                 first_pair, entries = _runs(pair)
-                own = pair[first_pair] >> 8
+                own = pair[first_pair] >> bits
                 first, size = _runs(own)
-                present, local = np.unique(keys[a:z] & 0xFFFF, return_inverse=True)
-                out.append((b, words[own[first]].tobytes(), size.astype("<u2").tobytes(), (pair[first_pair] & 255).astype(np.uint8).tobytes(), entries.astype("<u4").tobytes(), local.astype("<u2").tobytes(), count[a:z].astype("<u4").tobytes(), key[present].tobytes(), row[present].tobytes()))
+                out.append(
+                    (b, (int(row[0]) + turn) % salts.get(b, 1), int(row[0]), words[own[first]].tobytes(), size.astype("<u4").tobytes(), *_split(pair[first_pair] & ((1 << bits) - 1)),
+                     entries.astype("<u4").tobytes(), (keys[a:z] & 0xFFFF).astype("<u2").tobytes(), count[a:z].astype("<u4").tobytes(), ids if b == end else None)
+                )
+            turn += 1
             columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *names])
-
-    return common.map_arrow(docs, run, "bucket int, " + ", ".join(f"{n} binary" for n in names))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[3:])], ["bucket", "salt", "first", *names])
+
+    return common.map_arrow(docs, run, "bucket int, salt int, first bigint, " + ", ".join(f"{n} binary" for n in names))
+
+
+class Answers:
+    """A bucket's predictive shares, ready for requests."""
+
+    def __init__(self, model: Trained, b: Bucket | None):
+        self.model, self.b = model, b
+        if b is not None:
+            self.seen, self.mid_seen, self.root = model.shares(b)
+            self.count = np.add.reduceat(b.customers, b.starts[:-1]).astype(np.float64)
+            self.pairs = b.owner << model.bits | b.contexts
+            self.mids = b.mid_owner << 8 | b.mid_ending
+
+    def chances(self, words: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(training count of each word, probability of each pair)."""
+        m = self.model
+        if not m.tokens:
+            return np.zeros(len(words)), np.full(len(contexts), 1 / (m.words + 1))
+        endings = contexts >> (m.bits - 8)
+        count, root = np.zeros(len(words)), np.full(len(words), m.unknown)
+        seen, mid = np.zeros(len(contexts)), np.zeros(len(contexts))
+        if self.b is not None:
+            known = self.b.words
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            there = known[at] == words
+            count[there], root[there] = self.count[at[there]], self.root[at[there]]
+            for keys, held, asked, into in ((self.pairs, self.seen, at[owner] << m.bits | contexts, seen), (self.mids, self.mid_seen, at[owner] << 8 | endings, mid)):
+                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = there[owner] & (keys[place] == asked)
+                into[hit] = held[place[hit]]
+        return count, seen + m.fresh[contexts] * (mid + m.mid_fresh[endings] * root[owner])
+
+    def answer(self, r: dict) -> pa.RecordBatch:
+        words = np.frombuffer(r["words"], "<u8")
+        sizes, entries = np.frombuffer(r["sizes"], "<u4").astype(np.int64), np.frombuffer(r["entries"], "<u4").astype(np.int64)
+        doc, number = np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["numbers"], "<u4").astype(np.float64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        count, chance = self.chances(words, owner, _joined(r["low"], r["high"]))
+        base = np.log10((count + 0.5) / (self.model.tokens + 0.5 * (self.model.words + 1)))[owner]
+        spread = lambda x: np.bincount(doc, np.repeat(x, entries) * number)
+        tokens = np.bincount(doc, number).astype(np.int64)
+        columns = [tokens, spread((count[owner] > 0).astype(float)).astype(np.int64), spread(base), spread(np.log10(chance))]
+        present = np.flatnonzero(tokens)
+        ids = pa.nulls(len(present), pa.int64())
+        if r["ids"] is not None:
+            n = len(r["ids"]) // 9
+            ids = pa.array(np.frombuffer(r["ids"], "<i8", n)[present], mask=np.frombuffer(r["ids"], np.uint8, n, 8 * n)[present] > 0)
+        return pa.RecordBatch.from_arrays([pa.array(r["first"] + present), ids, *(pa.array(c[present]) for c in columns)], ["row", "id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,72 +555,52 @@ def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str
     Each bucket's model row comes before the requests for it, which are answered one after another.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), common.text_or_empty(text_col).alias("text"))
-    # A null id travels as the smallest number, which is turned back at the end.
-    asked = requests(rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63)))), model.buckets)
+    salts = salts_of(model)
+    asked = requests(rows, model.buckets, model.bits, salts)
+    names = [*FIELDS, "sizes", "entries", "docs", "numbers", "ids"]
+    of_model = ["words", "starts", "low", "high", "customers", "seen", "mid_seen", "root_seen"]
+    of_request = ["words", "low", "high", "sizes", "entries", "docs", "numbers", "ids"]
     blank = F.lit(None).cast("binary")
-    names = ["words", "starts", "classes", "customers", "chance", "roots", "sizes", "entries", "docs", "numbers", "ids", "rows"]
-    has = {"words", "starts", "classes", "customers", "chance", "roots"}
-    learnt = model.state.select("bucket", F.lit(0).alias("kind"), *(F.col(n) if n in has else blank.alias(n) for n in names))
-    has = {"words", "classes", "sizes", "entries", "docs", "numbers", "ids", "rows"}
-    asked = asked.select("bucket", F.lit(1).alias("kind"), *(F.col(n) if n in has else blank.alias(n) for n in names))
-    dealt = learnt.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    samples, fresh, unknown, base_room = max(1, model.samples), model.fresh, model.unknown, model.tokens + 0.5 * (model.words + 1)
-    nothing, sampled, learnt_any = 1 / (model.words + 1), model.samples, model.tokens > 0
-
-    def answer(known: dict | None, r: dict) -> pa.RecordBatch:
-        words = np.frombuffer(r["words"], "<u8")
-        sizes, entries = np.frombuffer(r["sizes"], "<u2").astype(np.int64), np.frombuffer(r["entries"], "<u4").astype(np.int64)
-        classes = np.frombuffer(r["classes"], np.uint8).astype(np.int64)
-        doc, number = np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["numbers"], "<u4").astype(np.float64)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        if known is None:
-            count = np.zeros(len(words))
-            roots = np.repeat(unknown[:, None], len(words), axis=1) if sampled else None
-        else:
-            at = np.minimum(np.searchsorted(known["words"], words), len(known["words"]) - 1)
-            there = known["words"][at] == words
-            count = np.where(there, known["count"][at], 0)
-            roots = np.where(there[None, :], known["roots"][:, at], unknown[:, None])
-        chance = (fresh[:, classes] * roots[:, owner]).mean(axis=0) if sampled and learnt_any else np.full(len(classes), nothing)
-        if known is not None:
-            pair = at[owner] << 8 | classes
-            place = np.minimum(np.searchsorted(known["pairs"], pair), len(known["pairs"]) - 1)
-            seated = there[owner] & (known["pairs"][place] == pair)
-            chance[seated] = known["chance"][place[seated]] / samples
-        base = np.log10((count + 0.5) / base_room)[owner]
-        ids, rows = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i8")
-        spread = lambda x: np.bincount(doc, np.repeat(x, entries) * number, len(ids))
-        columns = [np.bincount(doc, number, len(ids)).astype(np.int64), spread((count[owner] > 0).astype(float)).astype(np.int64), spread(base), spread(np.log10(chance))]
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ids), *(pa.array(c) for c in columns)], ["row", "id", "n_tokens", "n_known", "base_score", "score"])
+    copies = F.create_map(*(F.lit(x) for item in salts.items() for x in item)) if salts else None
+    n_salts = F.coalesce(F.try_element_at(copies, F.col("bucket")), F.lit(1)) if salts else F.lit(1)
+    learnt = model.state.select("bucket", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("first"), *(F.col(n) if n in of_model else blank.alias(n) for n in names))
+    asked = asked.select("bucket", "salt", F.lit(1).alias("kind"), "first", *(F.col(n) if n in of_request else blank.alias(n) for n in names))
+    dealt = learnt.union(asked).repartition(model.buckets + sum(salts.values()), "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    shared = Trained(**{**model.__dict__, "state": None})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = None, None
+        known, of = Answers(shared, None), None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 if r["kind"] == 0:
-                    words, starts = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["starts"], "<u4").astype(np.int64)
-                    owner = np.repeat(np.arange(len(words)), np.diff(starts))
-                    customers = np.frombuffer(r["customers"], "<u4").astype(np.float64)
-                    known, of = {"words": words, "pairs": owner << 8 | np.frombuffer(r["classes"], np.uint8), "count": np.add.reduceat(customers, starts[:-1]), "chance": np.frombuffer(r["chance"]), "roots": np.frombuffer(r["roots"]).reshape(samples, len(words))}, r["bucket"]
+                    values = [r[n] if n in of_model else b"" for n in FIELDS]
+                    known, of = Answers(shared, Bucket.read(shared.bits, values)), r["bucket"]
                 else:
-                    yield answer(known if of == r["bucket"] else None, r)
+                    if of != r["bucket"]:
+                        known, of = Answers(shared, None), r["bucket"]
+                    yield known.answer(r)
 
     parts = common.map_arrow(dealt, run, "row bigint, id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    whole = parts.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    whole = parts.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     id_kind = docs.schema[id_col].dataType
-    own = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id")).cast(id_kind).alias(id_col)
-    return whole.select(own, "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return whole.select(F.col("id").cast(id_kind).alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def bucket_count(df: DataFrame) -> int:
-    """8 * sqrt(input / 8 MB), between 4 and 20,000."""
-    return int(min(20_000, max(4, 8 * (common.input_partitions(df, 8 << 20) ** 0.5))))
+    """Buckets of about 32 MB of input; more of them while the input is small."""
+    units = common.input_partitions(df, 8 << 20)
+    return int(max(4, 8 * units**0.5, units / 4))
+
+
+def context_bits(df: DataFrame) -> int:
+    """12 bits and half a bit for each doubling of the input beyond 8 MB, 24 at most (that is beyond 100 TB)."""
+    return int(min(24, 12 + np.ceil(0.5 * np.log2(common.input_partitions(df, 8 << 20)))))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     training = docs.where(~held_out()).select(common.text_or_empty().alias("text"))
-    model = train(training, bucket_count(docs))
+    model = train(training, bucket_count(docs), context_bits(docs))
     scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

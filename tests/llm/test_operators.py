@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import byte_bpe, chat_format, language_model, media, near_copies, packing, quality_classifier, quality_rules, secrets_scan, simhash, toxicity
+from tessera.llm import byte_bpe, chat_format, language_model, media, near_copies, packing, quality_classifier, quality_rules, seating, secrets_scan, simhash, toxicity
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -219,41 +219,146 @@ def test_language_model_query(spark, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def _buckets(model):
+    return [language_model.Bucket.read(model.bits, [r[c] for c in language_model.FIELDS]) for r in model.state.collect()]
+
+
 def test_probabilities_of_all_words_sum_to_one(spark):
     train = ["a b a c a b", "b c a a", "c c c b"]
-    model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string"), 3)
-    state = [language_model._read_model([r[c] for c in ("words", "starts", "classes", "customers", "tables", "root_tables", "chance", "roots")]) for r in model.state.collect()]
-    for k in range(language_model.CLASSES):
-        total = float(np.mean(model.fresh[:, k] * model.unknown))
-        for words, starts, classes, _, _, _, chance, roots in state:
-            root = roots.reshape(model.samples, len(words))
-            for i in range(len(words)):
-                own = np.flatnonzero(classes[starts[i] : starts[i + 1]] == k)
-                total += chance[starts[i] + own[0]] / model.samples if len(own) else float(np.mean(model.fresh[:, k] * root[:, i]))
+    model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string"), 3, 10)
+    answers = [language_model.Answers(model, b) for b in _buckets(model)]
+    for k in [*range(0, 1 << 10, 7), *(int(c) for b in _buckets(model) for c in b.contexts)]:
+        total = float(model.fresh[k] * model.mid_fresh[k >> 2] * model.unknown)
+        for one in answers:
+            n = len(one.b.words)
+            total += one.chances(one.b.words, np.arange(n), np.full(n, k))[1].sum()
         assert total == pytest.approx(1, abs=1e-9)
 
 
+class _Restaurant:
+    """One customer at a time, by the book: the predictive rule, and tables as lists of sizes."""
+
+    def __init__(self, parent, discount, theta):
+        self.parent, self.discount, self.theta, self.tables, self.n, self.t = parent, discount, theta, {}, 0, 0
+
+    def chance(self, w):
+        own = self.tables.get(w, [])
+        up = self.parent.chance(w) if isinstance(self.parent, _Restaurant) else self.parent
+        return (sum(own) - self.discount * len(own) + (self.theta + self.discount * self.t) * up) / (self.theta + self.n)
+
+    def add(self, w, draw):
+        own = self.tables.setdefault(w, [])
+        up = self.parent.chance(w) if isinstance(self.parent, _Restaurant) else self.parent
+        weights = [x - self.discount for x in own] + [(self.theta + self.discount * self.t) * up]
+        k = draw.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(0)
+            self.t += 1
+            if isinstance(self.parent, _Restaurant):
+                self.parent.add(w, draw)
+        own[k] += 1
+        self.n += 1
+
+    def remove(self, w, draw):
+        own = self.tables[w]
+        k = draw.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        self.n -= 1
+        if not own[k]:
+            del own[k]
+            self.t -= 1
+            if isinstance(self.parent, _Restaurant):
+                self.parent.remove(w, draw)
+
+
+def test_seating_against_gibbs_by_single_customers(spark):
+    """Predictive probabilities of a small corpus, against a sampler that moves one customer at a time at the same discounts."""
+    draw = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = [" ".join(draw.choices(vocabulary, weights, k=60)) for _ in range(120)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    bits = 12
+    settings_ = language_model.Settings(rounds=10, burn_in=5)
+    model = language_model.train(df, 2, bits, s=settings_)
+    answers = [language_model.Answers(model, b) for b in _buckets(model)]
+    total = language_model.sum_totals(model.state, bits)
+    discounts = language_model.Shared.of(total, bits).discounts
+    h, contexts, _ = language_model.tokens_of([t.encode() for t in texts], bits)
+    base = 1 / (model.words + 1)
+    root = _Restaurant(base, discounts[2], 1.0)
+    mids = {c >> (bits - 8): _Restaurant(root, discounts[1], 1.0) for c in contexts.tolist()}
+    own = {c: _Restaurant(mids[c >> (bits - 8)], discounts[0], 1.0) for c in contexts.tolist()}
+    tokens = list(zip(h.tolist(), contexts.tolist()))
+    for w, c in tokens:
+        own[c].add(w, draw)
+    asked = sorted(set(draw.sample(tokens, 300)))
+    sums = dict.fromkeys(asked, 0.0)
+    for sweep in range(16):
+        for w, c in tokens:
+            own[c].remove(w, draw)
+            own[c].add(w, draw)
+        if sweep >= 6:
+            for w, c in asked:
+                sums[w, c] += own[c].chance(w) / 10
+    errors = []
+    for w, c in asked:
+        (bucket,) = [a for a in answers if w in a.b.words.tolist()]
+        chance = bucket.chances(np.array([w], np.uint64), np.zeros(1, np.int64), np.array([c]))[1][0]
+        errors.append(math.log(chance / sums[w, c]))
+    errors = np.array(errors)
+    assert abs(errors.mean()) < 0.03 and np.abs(errors).mean() < 0.08 and np.abs(errors).max() < 0.8
+
+
 def test_table_counts_follow_their_conditional():
-    d, log_new = 0.6, math.log(0.4)
-    s = language_model.log_stirling(d)
+    """Direct draws up to EXACT customers, and Metropolis steps beyond, against the Stirling numbers."""
     draw = np.random.default_rng(0)
-    for c in (2, 3, 6):
-        t = language_model.draw_tables(np.full(40_000, c), np.full(40_000, log_new), d, s, draw)
-        weight = np.exp(s[c, 1 : c + 1] + log_new * np.arange(1, c + 1))
-        assert np.bincount(t, minlength=c + 1)[1:] / 40_000 == pytest.approx(weight / weight.sum(), abs=0.01)
-    many = language_model.draw_tables(np.array([5000]), np.array([0.0]), d, s, draw)[0]
-    assert 1 < many < 5000
+    for d, new in ((0.6, 0.4), (0.6, 3.0), (0.8, 300.0), (0.1, 30.0)):
+        s = seating.log_stirling(d, 900)
+        for c, n in ((2, 40_000), (3, 40_000), (6, 40_000), (300, 20_000), (700, 4000), (900, 4000)):
+            customers, log_new = np.full(n, c), np.full(n, math.log(new))
+            t = np.ones(n, np.int64)
+            for _ in range(6):
+                t = seating.draw_tables(customers, t, log_new, d, s[: seating.EXACT + 1, : seating.EXACT + 1], draw)
+            log_p = s[c, 1 : c + 1] + math.log(new) * np.arange(1, c + 1)
+            p = np.exp(log_p - log_p.max())
+            p /= p.sum()
+            count = np.arange(1, c + 1)
+            mean = (p * count).sum()
+            spread = math.sqrt((p * count**2).sum() - mean**2)
+            assert t.mean() == pytest.approx(mean, abs=0.01 + 0.08 * spread)
+            assert t.std() == pytest.approx(spread, abs=0.01 + 0.08 * spread)
+
+
+def test_weights_beyond_the_table_equal_stirling_numbers():
+    for d in (0.05, 0.3, 0.6, 0.9):
+        s = seating.log_stirling(d, 1200)
+        for c in (seating.EXACT + 1, 1200):
+            t = np.array([1, 2, 3, 7, 20, 60])
+            found = seating.log_weight(t, np.full(6, c), np.zeros(6), d) + seating.log_factorial(np.array(c))
+            assert found == pytest.approx(s[c, t], abs=1e-6)
+    assert np.isfinite(seating.log_weight(np.array([1, 5, 1000]), np.full(3, 10**9), np.zeros(3), 0.7)).all()
 
 
 def test_stirling_numbers_by_enumeration():
     d = 0.3
-    s = language_model.log_stirling(d)
+    s = seating.log_stirling(d, 8)
     # Weight of a seating of 3 customers: product over tables of (1 - d)(2 - d)...
     assert np.exp(s[3, 1]) == pytest.approx((1 - d) * (2 - d))
     assert np.exp(s[3, 2]) == pytest.approx(3 * (1 - d))
     assert np.exp(s[3, 3]) == pytest.approx(1)
 
 
+def test_hot_buckets_are_dealt_over_salts(spark):
+    """A word with most of all tokens: its bucket has salts, and scores don't depend on the layout."""
+    rows = [(i, ("the " * 30) + f"word{i} end{i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    models = [language_model.train(df, buckets, 10, s=language_model.Settings(rounds=1, burn_in=0)) for buckets in (16, 1)]
+    assert max(language_model.salts_of(models[0]).values()) > 4 and not language_model.salts_of(models[1])
+    many, one = (sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in language_model.score(df, m).collect()) for m in models)
+    assert many == one == [(i, 33, 33) for i in range(400)]
+
+
 # ---- chat formatting -------------------------------------------------------------------------------------------------
 
 
