@@ -113,6 +113,16 @@ def _joined(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    most = int(numbers.max(initial=0))
+    return numbers.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """The numbers that `_narrow` stored; none for an empty field."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if raw else np.zeros(0, np.int64)
+
+
 def count_rows(raws: list[bytes], buckets: int, bits: int) -> Iterator[tuple]:
     """(bucket, words, sizes, low, high, counts): distinct hashes, contexts and counts of the pairs of a chunk."""
     h, before, _ = tokens_of(raws, bits)
@@ -150,7 +160,8 @@ def counts(training: DataFrame, buckets: int, bits: int, text_col: str) -> DataF
 #: A bucket's model: distinct words and first pair of each (with the end); by pair context, customers and tables; by (ending, word)
 #: and by word tables; then summed shares of seated customers by pair, (ending, word) and word.
 FIELDS = ["words", "starts", "low", "high", "customers", "tables", "mid_tables", "root_tables", "seen", "mid_seen", "root_seen"]
-KINDS = ["<u8", "<u8", "<u2", "u1", "<u8", "<u8", "<u8", "<u8", "<f8", "<f8", "<f8"]
+#: Counts are stored in the narrowest of 1, 2, 4 and 8 bytes that holds a bucket's largest, and read by their length.
+KINDS = {"words": "<u8", "low": "<u2", "high": "u1", "seen": "<f8", "mid_seen": "<f8", "root_seen": "<f8"}
 MODEL = "bucket int, " + ", ".join(f"{n} binary" for n in FIELDS)
 
 
@@ -186,14 +197,20 @@ class Bucket:
         return b
 
     @staticmethod
-    def read(bits: int, values: list[bytes]) -> Bucket:
-        a = {n: np.frombuffer(v, k) for n, v, k in zip(FIELDS, values, KINDS)}
-        whole = {n: a[n].astype(np.int64) for n in ("starts", "customers", "tables", "mid_tables", "root_tables")}
-        return Bucket(bits, words=a["words"], contexts=a["low"].astype(np.int64) | a["high"].astype(np.int64) << 16, seen=a["seen"], mid_seen=a["mid_seen"], root_seen=a["root_seen"], **whole)
+    def read(bits: int, r: dict[str, bytes]) -> Bucket:
+        """From a row's fields; without `words` they are numbers, without shares these are empty."""
+        starts = np.frombuffer(r["starts"], "<u4").astype(np.int64)
+        n, pairs = len(starts) - 1, int(starts[-1])
+        contexts = _joined(r["low"], r["high"])
+        mids = len(_runs(np.repeat(np.arange(n), np.diff(starts)) << 8 | contexts >> (bits - 8))[0])
+        whole = {name: _wide(r.get(name, b""), size) for name, size in (("customers", pairs), ("tables", pairs), ("mid_tables", mids), ("root_tables", n))}
+        shares = {name: np.frombuffer(r.get(name, b"")) for name in ("seen", "mid_seen", "root_seen")}
+        return Bucket(bits, words=np.frombuffer(r["words"], "<u8") if "words" in r else np.arange(n, dtype=np.uint64), starts=starts, contexts=contexts, **whole, **shares)
 
     def row(self, number: int) -> pa.RecordBatch:
         low, high = _split(self.contexts)
-        data = [low if n == "low" else high if n == "high" else getattr(self, n).astype(k).tobytes() for n, k in zip(FIELDS, KINDS)]
+        split = {"low": low, "high": high, "starts": self.starts.astype("<u4").tobytes()}
+        data = [split[n] if n in split else getattr(self, n).astype(KINDS[n]).tobytes() if n in KINDS else _narrow(getattr(self, n)) for n in FIELDS]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["bucket", *FIELDS])
 
     def mid_customers(self) -> np.ndarray:
@@ -237,7 +254,7 @@ def merged(counted: DataFrame, buckets: int, bits: int) -> DataFrame:
                 contexts = _joined(arrays[2], arrays[3])
                 parts.append((words, sizes.astype(np.int64), contexts, number.astype(np.int64)))
                 held += len(contexts)
-                if held > 3_000_000:  # a bucket is never held with all its repeats
+                if held > 1_500_000:  # a bucket is never held with all its repeats
                     keys, words, number = compact()
                     start, _ = _runs(keys)
                     owner = keys[start] >> bits
@@ -304,8 +321,7 @@ def sum_totals(state: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                values = [batch.column(k)[i].as_py() for k in range(8)]
-                totals_of(Bucket.read(bits, [*values, b"", b"", b""]), total)
+                totals_of(Bucket.read(bits, {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}), total)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(-(-size // SLICE)), pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in range(0, size, SLICE)], pa.binary())], ["slice", "numbers"])
 
@@ -318,7 +334,7 @@ def sum_totals(state: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "numbers"])
 
     kind = "slice int, numbers binary"
-    rows = common.map_arrow(common.map_arrow(state.select(*FIELDS[:8]), add, kind).repartition("slice"), merge, kind).collect()
+    rows = common.map_arrow(common.map_arrow(state.select(*FIELDS[1:8]), add, kind).repartition("slice"), merge, kind).collect()
     total = np.zeros(size, np.int64)
     for r in rows:
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["numbers"], np.int64)
@@ -388,13 +404,13 @@ def gibbs_round(state: DataFrame, shared: Shared, s: Settings, number: int, bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values = [batch.column(k)[i].as_py() for k in range(len(FIELDS) + 1)]
-                b = Bucket.read(bits, values[1:])
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                b = Bucket.read(bits, r)
                 if number >= s.burn_in:
                     add_sample(b, shared, s)
                 if number < s.rounds:
-                    sweep(b, shared, s, np.random.default_rng([s.seed, number, values[0]]))
-                yield b.row(values[0])
+                    sweep(b, shared, s, np.random.default_rng([s.seed, number, r["bucket"]]))
+                yield b.row(r["bucket"])
 
     return common.map_arrow(state, run, MODEL)
 
@@ -450,11 +466,11 @@ def salts_of(model: Trained) -> dict[int, int]:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(np.frombuffer(x, "<u8").sum()) for x in batch.column(1).to_pylist()]
+            n = [int(_wide(x, len(y) // 2).sum()) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["bucket", "n"])
 
     mean = max(1, model.tokens // model.buckets)
-    heavy = common.map_arrow(model.state.select("bucket", "customers"), weigh, "bucket int, n bigint").where(F.col("n") > 2 * mean)
+    heavy = common.map_arrow(model.state.select("bucket", "customers", "low"), weigh, "bucket int, n bigint").where(F.col("n") > 2 * mean)
     return {r["bucket"]: -(-r["n"] // mean) for r in heavy.collect()}  # fewer than half the buckets
 
 
@@ -574,8 +590,7 @@ def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str
             for i in range(batch.num_rows):
                 r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 if r["kind"] == 0:
-                    values = [r[n] if n in of_model else b"" for n in FIELDS]
-                    known, of = Answers(shared, Bucket.read(shared.bits, values)), r["bucket"]
+                    known, of = Answers(shared, Bucket.read(shared.bits, {n: r[n] for n in of_model})), r["bucket"]
                 else:
                     if of != r["bucket"]:
                         known, of = Answers(shared, None), r["bucket"]
@@ -588,9 +603,9 @@ def score(docs: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets of about 32 MB of input; more of them while the input is small."""
+    """Buckets of about 16 MB of input; more of them while the input is small."""
     units = common.input_partitions(df, 8 << 20)
-    return int(max(4, 8 * units**0.5, units / 4))
+    return int(max(4, 16 * units**0.5, units / 2))
 
 
 def context_bits(df: DataFrame) -> int:

@@ -39,13 +39,19 @@ def log_factorial(n: np.ndarray) -> np.ndarray:
     return np.where(n < 4096, _LOG_FACTORIALS[np.minimum(n, 4095)], series)
 
 
-def _bisect(value, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> np.ndarray:  # noqa: ANN001
-    """Where a falling function of an array crosses zero."""
+def _saddle(log_scale: np.ndarray, discount: float, whole: bool, rounds: int = 8) -> np.ndarray:
+    """log v with exp(log_scale) (1 - v) v**(d - 1) / (1 - v**d if whole else 1) = 1, by Newton steps from its value for small v."""
+    d = discount
+    y = np.clip(log_scale / (1 - d), -600.0, -1e-6)
     for _ in range(rounds):
-        middle = (low + high) / 2
-        above = value(middle) > 0
-        low, high = np.where(above, middle, low), np.where(above, high, middle)
-    return (low + high) / 2
+        v, q = np.exp(y), np.exp(d * y)
+        value = log_scale + np.log1p(-v) + (d - 1) * y
+        slope = -v / (1 - v) + (d - 1)
+        if whole:
+            value -= np.log1p(-q)
+            slope += d * q / (1 - q)
+        y = np.clip(y - value / np.minimum(slope, -1e-3), -600.0, -1e-6)
+    return y
 
 
 def log_sum_chance(t: np.ndarray, c: np.ndarray, discount: float) -> np.ndarray:
@@ -57,11 +63,7 @@ def log_sum_chance(t: np.ndarray, c: np.ndarray, discount: float) -> np.ndarray:
     """
     d, c, t = discount, c.astype(np.float64), t.astype(np.float64)
 
-    def slope(log_v: np.ndarray) -> np.ndarray:
-        v = np.exp(log_v)
-        return np.log(t * d) + np.log1p(-np.minimum(v, 1 - 1e-16)) + (d - 1) * log_v - np.log(-np.expm1(d * log_v)) - np.log(c)
-
-    saddle = -np.log1p(-np.exp(_bisect(slope, np.full(len(c), -690.0), np.full(len(c), -1e-12))))
+    saddle = -np.log1p(-np.exp(_saddle(np.log(t * d / c), d, True)))
     wide = saddle * c >= 2
     p0 = np.where(wide, saddle, 2 / c)
     reach = np.where(wide, np.minimum(8.0, np.sqrt(40 / (2 * c * p0 * (1 - d)))), 6.0)
@@ -88,8 +90,7 @@ def log_weight(t: np.ndarray, c: np.ndarray, log_new: np.ndarray, discount: floa
 
 def centre(c: np.ndarray, log_new: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """(mode, spread) of the table count, by the joint saddle point of count and integral."""
-    log_c = np.log(c)
-    log_v = _bisect(lambda x: log_new + np.log1p(-np.minimum(np.exp(x), 1 - 1e-16)) + (discount - 1) * x - log_c, np.full(len(c), -690.0), np.full(len(c), -1e-12))
+    log_v = _saddle(log_new - np.log(c), discount, False)
     q = np.exp(discount * log_v)
     mode = np.exp(log_new) / discount * (1 - q)
     spread = np.sqrt((mode + 1) / (1 + discount * q / (1 - discount)))

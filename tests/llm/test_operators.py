@@ -220,7 +220,7 @@ def test_language_model_query(spark, texts):
 
 
 def _buckets(model):
-    return [language_model.Bucket.read(model.bits, [r[c] for c in language_model.FIELDS]) for r in model.state.collect()]
+    return [language_model.Bucket.read(model.bits, {c: bytes(r[c]) for c in language_model.FIELDS}) for r in model.state.collect()]
 
 
 def test_probabilities_of_all_words_sum_to_one(spark):
