@@ -7,14 +7,15 @@ becomes escape + code; no text keeps that character, and splitting at marks and
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text), nulls first, so ties and repeated
 rows have one order; a null conversation id is a conversation of its own; an empty table gives an empty result; extra
-columns are ignored.  A conversation's turns meet in one row, because its text is one value; conversations are dealt apart.
+columns are ignored.  A conversation's turns meet in one row, because its text is one value: its formatted text must stay below the
+2 GB that one value may hold.  Conversations are dealt apart.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,41 +76,68 @@ def format_conversations(df: DataFrame, template: Template = Template()) -> Data
     `start` is the segment's first code point in the formatted text.
     """
     t = template
-    rows = df.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     loss = lambda role: role.isin(list(t.loss_roles)) if t.loss_roles else F.lit(False)
+    given = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = given.withColumn("head", F.concat(F.lit(t.before_role), escaped(F.col("role"), t), F.lit(t.before_text))).withColumn("body", escaped(F.col("text"), t))
+    # Offsets are running sums over a conversation's rows; equal turns are alike, so their order among themselves doesn't matter.
+    ahead = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.char_length("head") + F.char_length("body") + F.lit(len(t.after_text))
+    placed = parts.withColumn("at", F.sum(size).over(ahead) - size)
+    turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at", "head", "body"))).alias("turns"))
 
     def segments(x: Column) -> Column:
-        head = F.concat(F.lit(t.before_role), escaped(x["role"], t), F.lit(t.before_text))
+        body = x["at"] + F.char_length(x["head"])
         return F.array(
-            F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escaped(x["text"], t).alias("text"), loss(x["role"]).alias("loss")),
-            F.struct(F.lit(t.after_text).alias("text"), F.lit(False).alias("loss")),
+            F.struct(x["head"].alias("text"), F.lit(False).alias("loss"), x["at"].alias("start")),
+            F.struct(x["body"].alias("text"), loss(x["role"]).alias("loss"), body.alias("start")),
+            F.struct(F.lit(t.after_text).alias("text"), F.lit(False).alias("loss"), (body + F.char_length(x["body"])).alias("start")),
         )
 
-    made = turns.select("conv_id", final_state(F.transform("turns", lambda x: x["role"]), t).isin(list(t.accepting)).alias("valid"), F.flatten(F.transform("turns", segments)).alias("parts"))
-    # The end of each segment is a running sum kept in the accumulator, so that offsets cost one pass.
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate("parts", zero, lambda a, x: F.struct((a["at"] + F.char_length(x["text"])).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
-    joined = F.zip_with("parts", starts, lambda p, s: F.struct(p["text"].alias("text"), p["loss"].alias("loss"), s.alias("start")))
-    return made.select("conv_id", (F.size("parts") / 3).cast("bigint").alias("n_turns"), "valid", joined.alias("segments"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"))
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        final_state(F.transform("turns", lambda x: x["role"]), t).isin(list(t.accepting)).alias("valid"),
+        F.flatten(F.transform("turns", segments)).alias("segments"),
+        F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(t.after_text))), "").alias("formatted"),
+    )
+
+
+def _pieces(formatted: Column, t: Template) -> Column:
+    """What stands before each end mark, in order."""
+    cut = _split(formatted, t.after_text)
+    return F.slice(cut, 1, F.size(cut) - 1)
+
+
+def _halves(piece: Column, t: Template) -> Column:
+    """A piece's role and text, still escaped."""
+    cut = _split(piece, t.before_text)
+    return F.struct(F.replace(cut[0], F.lit(t.before_role), F.lit("")).alias("role"), cut[1].alias("text"))
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
     """The turns (role, text) of a formatted text."""
     t = template
-    pieces = F.filter(_split(formatted, t.after_text), lambda x: x != "")
-
-    def turn(x: Column) -> Column:
-        halves = _split(x, t.before_text)
-        return F.struct(unescaped(F.replace(halves[0], F.lit(t.before_role), F.lit("")), t).alias("role"), unescaped(halves[1], t).alias("text"))
+    undo = lambda h: F.struct(unescaped(h["role"], t).alias("role"), unescaped(h["text"], t).alias("text"))
+    return F.transform(F.transform(_pieces(formatted, t), lambda x: _halves(x, t)), undo)
 
-    return F.transform(pieces, turn)
 
+def loss_text(formatted: Column, segments: Column, template: Template = Template()) -> Column:
+    """All text of `formatted` under the loss mask, unescaped, in order.
 
-def loss_text(segments: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"], template)), "")
+    Only places, lengths and flags are taken from the segments.  Where every place and length agrees with the lengths of what
+    `formatted` holds between its marks, its pieces are the cuts (one pass); else it is cut at each place.
+    """
+    t = template
+    masked = F.transform(F.filter(segments, lambda s, i: i % 3 == 1), lambda s: F.struct(s["start"].alias("start"), F.char_length(s["text"]).alias("size"), s["loss"].alias("loss")))
+    ends = F.transform(masked, lambda m: m["start"] + m["size"] + len(t.after_text))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+    halves = F.transform(_pieces(formatted, t), lambda x: _halves(x, t))
+    rows = F.arrays_zip(halves.alias("half"), masked.alias("own"), before.alias("before"))
+    head = len(t.before_role) + len(t.before_text)
+    fits = F.forall(rows, lambda m: (m["own"]["start"] - m["before"] == F.char_length(m["half"]["role"]) + head) & (m["own"]["size"] == F.char_length(m["half"]["text"])))
+    whole = F.array_join(F.transform(F.filter(rows, lambda m: m["own"]["loss"]), lambda m: unescaped(m["half"]["text"], t)), "")
+    cut = F.array_join(F.transform(F.filter(masked, lambda m: m["loss"]), lambda m: unescaped(F.substring(formatted, (m["start"] + 1).cast("int"), m["size"]), t)), "")
+    return F.when(F.coalesce(fits, F.lit(False)), whole).otherwise(cut)
 
 
 # Conversation -7 of the query.
@@ -122,7 +150,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text")
     )
     made = format_conversations(given.unionByName(probe))
-    read = made.select("conv_id", "valid", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    read = made.select("conv_id", "valid", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("segments")).alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid"

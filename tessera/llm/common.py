@@ -19,10 +19,15 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder is set on a local master; on a cluster that is an error, as executors don't share it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext.getCheckpointDir()
+        if not context and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = context.rsplit("/", 1)[0] if context else "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -144,6 +149,28 @@ def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, -(-size // bytes_each))
 
 
+def filter_chunks(df: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df whose flag in `keep` of their chunk is true, with all columns: nothing is joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, text_col):
+            yield chunk.filter(pa.array(keep(chunk)))
+
+    return map_arrow(df, run, df.schema)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, parts: int = 1000) -> DataFrame:
+    """left join right on key, where right has each key once, its column `n` counts the key's rows in left, and `n` isn't returned.
+
+    Keys with more than 1/parts of left's rows, at most `parts` of them, are joined by broadcast and never meet in one task.
+    """
+    total = left.count() if rows is None else rows
+    hot = right.where(F.col("n") * parts > total)
+    cold = right.where(F.col("n") * parts <= total).drop("n")
+    hot_keys = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(hot.drop("n")), key).unionByName(left.join(hot_keys, key, "left_anti").join(cold, key, how))
+
+
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of df whose id and text (both null-safe, the text by a hash) are in kept (id_col, text_key); no column is added."""
     keys = kept.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).distinct()

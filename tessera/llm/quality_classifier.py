@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ _LOWER, _UPPER, _DIGIT, _OTHER = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"
 
 def word_features(word: bytes) -> tuple[int, ...]:
     """Hash buckets of one word."""
-    shape = _OTHER.sub(b"~", _DIGIT.sub(b"0", _UPPER.sub(b"A", _LOWER.sub(b"a", word))))[:12]
+    shape = _OTHER.sub(b"~", _DIGIT.sub(b"0", _UPPER.sub(b"A", _LOWER.sub(b"a", word))))
     low = word.lower()
     return tuple(zlib.crc32(x) % SIZE for x in (b"w" + low, b"s" + shape, b"e" + low[-2:], b"b" + low[:2]))
 
@@ -126,59 +127,73 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id")  # `sample` rows at most
+    joined = texts.join(F.broadcast(chosen), "id").withColumn("key", common.text_key(F.col("text")))  # `sample` labels at most are broadcast
 
     def make(chunk: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [text_features(raw) for raw in common.raw_texts(chunk.column(1))]
-        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["id", "grade", "buckets", "shares"])
+        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), chunk.column(3), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["id", "grade", "key", "buckets", "shares"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    table = common.map_chunks(joined.select("id", "text", "grade"), make, f"id {kind}, grade int, buckets array<int>, shares array<float>").toArrow()
-    rows = sorted(zip(table["id"].to_pylist(), table["grade"].to_pylist(), range(table.num_rows)))
-    order = [i for *_, i in rows]
-    taken = table.take(order) if order else table
-    return fit_ordinal([np.array(x, np.int64) for x in taken["buckets"].to_pylist()], [np.array(x, np.float64) for x in taken["shares"].to_pylist()], np.array(taken["grade"].to_pylist(), np.int64))
+    table = common.map_chunks(joined.select("id", "text", "grade", "key"), make, f"id {kind}, grade int, key bigint, buckets array<int>, shares array<float>")
+    # Rows that repeat an id may be more than the labels: the sample is cut once more before anything comes to the driver.
+    table = table.orderBy(F.xxhash64("id"), "id", "grade", "key").limit(sample).toArrow()
+    buckets, shares = ([x.values.to_numpy() for x in table[c]] for c in ("buckets", "shares"))
+    return fit_ordinal(buckets, shares, np.array(table["grade"].to_pylist(), np.int64))
+
+
+def values_of(model: OrdinalModel) -> Callable[[list[bytes]], np.ndarray]:
+    """w.x of texts, each word's value computed once."""
+    weights = model.weights
+    cache = common.Cache(lambda word: sum(weights[f] for f in word_features(word)), 400_000)
+
+    def values(raws: list[bytes]) -> np.ndarray:
+        out, get = np.empty(len(raws)), cache.__getitem__
+        for i, raw in enumerate(raws):
+            words = raw.split()
+            total = float(np.fromiter(map(get, words), np.float64, len(words)).sum())
+            if words:
+                total += float(weights[list(repeat_features(words))].sum()) * len(words)
+            out[i] = total / (len(words) + PRIOR_WORDS)
+        return out
+
+    return values
+
+
+def tails(model: OrdinalModel, p: np.ndarray, least_grade: int | None) -> np.ndarray:
+    """P(grade >= least_grade), the highest grade if None, from probabilities by grade."""
+    least = model.grades[-1] if least_grade is None else least_grade
+    return np.clip(p[:, np.array(model.grades) >= least].sum(axis=1), 0, 1)
 
 
 def score(docs: DataFrame, model: OrdinalModel, least_grade: int | None = None, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_key, expected_grade, tail_probability, grade, selected): tail_probability is P(grade >= least_grade).
+    """(id_col, expected_grade, tail_probability, grade, selected): tail_probability is P(grade >= least_grade).
 
     least_grade: the highest grade if None.
     """
     levels = np.array(model.grades)
-    least = model.grades[-1] if least_grade is None else least_grade
-    weights = model.weights
-
-    def worth(word: bytes) -> float:
-        return sum(weights[f] for f in word_features(word))
-
-    cache = common.Cache(worth, 400_000)
+    values = values_of(model)
 
     def make(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        values, get = [], cache.__getitem__
-        for raw in common.raw_texts(chunk.column(1)):
-            words = raw.split()
-            total = float(np.fromiter(map(get, words), np.float64, len(words)).sum())
-            if words:
-                total += float(weights[list(repeat_features(words))].sum()) * len(words)
-            values.append(total / (len(words) + PRIOR_WORDS))
-        p = model.probabilities(np.array(values))
-        tail = np.clip(p[:, levels >= least].sum(axis=1), 0, 1)
+        p = model.probabilities(values(common.raw_texts(chunk.column(1))))
+        tail = tails(model, p, least_grade)
         return pa.RecordBatch.from_arrays(
-            [chunk.column(0), chunk.column(2), pa.array(p @ levels), pa.array(tail), pa.array(levels[p.argmax(axis=1)].astype(np.int32)), pa.array(tail >= least_tail)], [id_col, "text_key", "expected_grade", "tail_probability", "grade", "selected"]
+            [chunk.column(0), pa.array(p @ levels), pa.array(tail), pa.array(levels[p.argmax(axis=1)].astype(np.int32)), pa.array(tail >= least_tail)], [id_col, "expected_grade", "tail_probability", "grade", "selected"]
         )
 
-    rows = docs.select(F.col(id_col), common.text_or_empty(text_col).alias(text_col), common.text_key(F.col(text_col)).alias("text_key"))
+    rows = docs.select(F.col(id_col), common.text_or_empty(text_col).alias(text_col))
     kind = rows.schema[id_col].dataType.simpleString()
-    return common.map_chunks(rows, make, f"`{id_col}` {kind}, text_key bigint, expected_grade double, tail_probability double, grade int, selected boolean", text_col)
+    return common.map_chunks(rows, make, f"`{id_col}` {kind}, expected_grade double, tail_probability double, grade int, selected boolean", text_col)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents.  `labels.quality` has two grades, so the model has one threshold here and expected_grade equals
+    tail_probability; with more grades in the column it has more."""
     docs = common.documents(spark, sf_dir)
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).drop("text_key")
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def keep_selected(docs: DataFrame, ratings: DataFrame, least_tail: float = 0.5) -> DataFrame:
-    """The documents that the classifier selects, with all their columns."""
-    return common.keep_rows(docs, score(docs, fit(docs, ratings), least_tail=least_tail).where("selected"), "doc_id", "text")
+def keep_selected(docs: DataFrame, ratings: DataFrame, least_grade: int | None = None, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the classifier selects, with all their columns; decided within the batch that holds the text."""
+    model = fit(docs, ratings, id_col, text_col)
+    values, at = values_of(model), docs.columns.index(text_col)
+    return common.filter_chunks(docs, text_col, lambda chunk: tails(model, model.probabilities(values(common.raw_texts(chunk.column(at)))), least_grade) >= least_tail)

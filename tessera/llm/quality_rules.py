@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm import common
 
@@ -73,73 +74,84 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     n = len(words)
     if n <= width:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    codes: dict[bytes, int] = {}
+    h = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, n).view(np.uint64)
     m = n - width + 1
     window = np.zeros(m, np.uint64)
     for j in range(width):
-        window = window * np.uint64(0x9E3779B97F4A7C15) + h[j : j + m]
-    slots = (window >> np.uint64(40)).astype(np.int64) & ((1 << max(12, m.bit_length() + 2)) - 1)
+        window = (window + h[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+        window ^= window >> np.uint64(29)
+    slots = (window >> np.uint64(32)).astype(np.int64) & ((1 << max(12, m.bit_length() + 2)) - 1)
     maybe = np.flatnonzero(np.bincount(slots)[slots] > 1)
     if not len(maybe):
         return 0
     _, back, counts = np.unique(window[maybe], return_inverse=True, return_counts=True)
     maybe = maybe[counts[back] > 1]
-    exact: dict[tuple, list[int]] = {}
-    for i in maybe.tolist():
-        exact.setdefault(tuple(words[i : i + width]), []).append(i)
+    if not len(maybe):
+        return 0
+    # The windows themselves decide, as rows of word numbers: 8 * width bytes for each that may repeat.
+    rows = np.lib.stride_tricks.sliding_window_view(h, width)[maybe].view(f"V{8 * width}").ravel()
+    _, back, counts = np.unique(rows, return_inverse=True, return_counts=True)
+    places = maybe[counts[back] > 1]
     change = np.zeros(n + 1, np.int64)
-    for places in exact.values():
-        if len(places) > 1:
-            np.add.at(change, places, 1)
-            np.add.at(change, np.array(places) + width, -1)
+    np.add.at(change, places, 1)
+    np.add.at(change, places + width, -1)
     return int((np.cumsum(change[:n]) > 0).sum())
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, lang, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words) for each row.
 
-    classes and words are histograms; the last bin of words holds all words that aren't common.
-    """
+def measured(column: pa.Array, vocabulary: dict[bytes, int]) -> list[pa.Array]:
+    """COUNTS, then the histograms of character classes and of words, of each text; the last bin of words holds those that aren't common."""
     bins = len(VOCABULARY) + 1
-    vocabulary: dict[bytes, int] = {w: i for i, w in enumerate(VOCABULARY)}
-
-    def make(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = common.offsets(chunk.column(1))
-        rows: list[list] = [[] for _ in range(7)]
-        for raw, a, b in zip(common.raw_texts(chunk.column(1)), at, at[1:]):
-            by_byte = np.bincount(data[a:b], minlength=256)
-            words = raw.split()
-            n = len(words)
-            lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-            chars = int(by_byte.sum() - by_byte[0x80:0xC0].sum())
-            hist = np.bincount(np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), minlength=bins)
-            hist[-1] = n - hist.sum()
-            values = (n, chars - int(by_byte[SPACES].sum()), int(by_byte[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated_words(words), by_byte @ BYTE_CLASS, hist)
-            for into, value in zip(rows, values):
-                into.append(value)
-        arrays = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(x, pa.list_(pa.int64())) for x in rows[5:]]
-        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), chunk.column(3), *arrays], [id_col, "lang", "text_key", *COUNTS, "classes", "words"])
-
-    lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), lang.alias("lang"), common.text_key(F.col(text_col)).alias("text_key"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return common.map_chunks(rows, make, f"`{id_col}` {kind}, lang string, text_key bigint, {counts}, classes array<bigint>, words array<bigint>", text_col)
+    data, at = common.offsets(column)
+    rows: list[list] = [[] for _ in range(7)]
+    for raw, a, b in zip(common.raw_texts(column), at, at[1:]):
+        by_byte = np.bincount(data[a:b], minlength=256)
+        words = raw.split()
+        n = len(words)
+        lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
+        chars = int(by_byte.sum() - by_byte[0x80:0xC0].sum())
+        hist = np.bincount(np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), minlength=bins)
+        hist[-1] = n - hist.sum()
+        values = (n, chars - int(by_byte[SPACES].sum()), int(by_byte[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated_words(words), by_byte @ BYTE_CLASS, hist)
+        for into, value in zip(rows, values):
+            into.append(value)
+    return [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(x, pa.list_(pa.int64())) for x in rows[5:]]
+
+
+#: Columns that the measures add; no table is taken that has such names itself.
+MARK = "__tessera_"
+MEASURES = [*COUNTS, "classes", "words"]
+
+
+def measures(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The table's own columns, its language as a string and MEASURES, the latter with names that begin with MARK."""
+    vocabulary = {w: i for i, w in enumerate(VOCABULARY)}
+    at = df.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in common.chunks(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*chunk.columns, *measured(chunk.column(at), vocabulary)], [*chunk.schema.names, *(MARK + m for m in MEASURES)])
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in df.columns else F.lit(None).cast("string")
+    rows = df.withColumn(f"{MARK}lang", lang)
+    added = [StructField(MARK + m, LongType() if m in COUNTS else ArrayType(LongType())) for m in MEASURES]
+    schema = StructType([*rows.schema.fields, *added])
+    return common.map_arrow(rows, run, schema)
 
 
 def base_failed(rules: Rules) -> Column:
-    return (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * F.col("n_words"))
+    n_words, repeat = F.col(f"{MARK}n_words"), F.col(f"{MARK}n_repeat_words")
+    return (n_words < rules.least_words) | (100 * repeat > rules.most_repeat_percent * n_words)
 
 
-def references(measured: DataFrame, rules: Rules) -> DataFrame:
+def references(held: DataFrame, rules: Rules) -> DataFrame:
     """(lang, ref_classes, ref_words): shares over all documents of a language that pass the base rules, for each language."""
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
-    sums += [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
-    by_lang = measured.where(~base_failed(rules) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums)
+    sums = [F.sum(F.col(f"{MARK}classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
+    sums += [F.sum(F.col(f"{MARK}words")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
+    by_lang = held.where(~base_failed(rules) & F.col(f"{MARK}lang").isNotNull()).groupBy(F.col(f"{MARK}lang").alias("lang")).agg(F.count("*").alias("n"), *sums)
 
     def shares(prefix: str, n: int) -> Column:
         values = F.array(*(F.col(f"{prefix}{i}").cast("double") for i in range(n)))
@@ -159,38 +171,62 @@ def js_distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.where((total[:, 0] > 0) & (held > 0), np.sqrt(np.maximum(divergence, 0)), 0.0)
 
 
-def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, text_key, counts, class_distance, word_distance, base_failed, kept) for each row."""
-    measured = common.staged(measures(df, id_col, text_col, lang_col), "measures")
-    found = references(measured, rules).collect()  # a row for each language, MOST_LANGUAGES at most
-    shares = {r["lang"]: (np.array(r["ref_classes"]), np.array(r["ref_words"])) for r in found}
+References = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def collected(refs: DataFrame) -> References:
+    """References by language, MOST_LANGUAGES at most."""
+    return {r["lang"]: (np.array(r["ref_classes"]), np.array(r["ref_words"])) for r in refs.collect()}
+
+
+def verdicts(batch: pa.RecordBatch, refs: References, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distance of classes, of words, base_failed, kept) of measured rows."""
     nothing = (np.zeros(CLASSES), np.zeros(len(VOCABULARY) + 1))
+    own = {m: batch.column(batch.schema.get_field_index(MARK + m)) for m in [*MEASURES, "lang"]}
+    langs = own["lang"].to_pylist()
+    hists = [own[m].flatten().to_numpy().reshape(batch.num_rows, -1) for m in ("classes", "words")]
+    distances = [js_distance(h, np.array([refs.get(lang, nothing)[k] for lang in langs])) for k, h in enumerate(hists)]
+    n_words, n_repeat = (own[m].to_numpy(zero_copy_only=False) for m in ("n_words", "n_repeat_words"))
+    failed = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_percent * n_words)
+    odd = (hists[0].sum(axis=1) >= rules.class_chars) & (distances[0] > rules.class_distance) | (n_words >= rules.word_words) & (distances[1] > rules.word_distance)
+    return *distances, failed, ~failed & ~odd
+
+
+def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: References | None = None) -> DataFrame:
+    """(id_col, counts, class_distance, word_distance, base_failed, kept) for each row.
+
+    refs: stored references (`collected`); None: those of this table, so that a verdict depends on the other rows, too.
+    """
+    columns = [F.col(c) for c in dict.fromkeys([id_col, text_col, *([lang_col] if lang_col in df.columns else [])])]
+    held = common.staged(measures(df.select(*columns), text_col, lang_col).drop(*{text_col} - {id_col}), "measures")
+    found = collected(references(held, rules)) if refs is None else refs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                langs = batch.column(1).to_pylist()
-                distance = []
-                for k, column in enumerate((batch.column(8), batch.column(9))):
-                    counts = column.flatten().to_numpy().reshape(batch.num_rows, -1)
-                    distance.append(js_distance(counts, np.array([shares.get(lang, nothing)[k] for lang in langs])))
-                    chars = counts.sum(axis=1) if k == 0 else chars  # noqa: F821
-                n_words, n_repeat = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 7))
-                failed = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_percent * n_words)
-                odd = (chars >= rules.class_chars) & (distance[0] > rules.class_distance) | (n_words >= rules.word_words) & (distance[1] > rules.word_distance)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(batch.column(i) for i in range(3, 8)), *(pa.array(d) for d in distance), pa.array(failed), pa.array(~failed & ~odd)], names)
-
-    names = [id_col, "text_key", *COUNTS, "class_distance", "word_distance", "base_failed", "kept"]
-    kind = measured.schema[id_col].dataType.simpleString()
+                counts = (batch.column(batch.schema.get_field_index(MARK + c)) for c in COUNTS)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), *counts, *map(pa.array, verdicts(batch, found, rules))], names)
+
+    names = [id_col, *COUNTS, "class_distance", "word_distance", "base_failed", "kept"]
+    kind = held.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return common.map_arrow(measured, run, f"`{id_col}` {kind}, text_key bigint, {counts}, class_distance double, word_distance double, base_failed boolean, kept boolean")
+    return common.map_arrow(held, run, f"`{id_col}` {kind}, {counts}, class_distance double, word_distance double, base_failed boolean, kept boolean")
+
 
+def keep_good(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang", refs: References | None = None) -> DataFrame:
+    """The rows that the rules keep, with all their columns, which travel with the measures instead of being joined back."""
+    held = common.staged(measures(df, text_col, lang_col), "measures")
+    found = collected(references(held, rules)) if refs is None else refs
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in common.chunks(batches, text_col):
+            kept = chunk.filter(pa.array(verdicts(chunk, found, rules)[3]))
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], schema=pa.schema(list(kept.schema)[: len(names)]))
 
-def keep_good(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
-    return common.keep_rows(df, judge(df, rules, id_col, text_col).where("kept"), id_col, text_col)
+    return common.map_arrow(held, run, df.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.documents(spark, sf_dir)).drop("text_key")
+    return judge(common.documents(spark, sf_dir))

@@ -367,7 +367,7 @@ def test_chat_round_trip_of_odd_texts(spark):
     odd = ["".join(draw.choice('\\<l>turnex/\n "') for _ in range(draw.randint(0, 14))) for _ in range(300)] + ["</turn>", "<text>", "\\l", "\\\\l", "\\", "<", chat_format.PROBE_TEXT]
     rows = [(i // 3, i % 3, draw.choice(["user", "assistant", "<turn>\\"]), x) for i, x in enumerate(odd)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    made = chat_format.format_conversations(df).select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss")).collect()
+    made = chat_format.format_conversations(df).select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("segments")).alias("loss")).collect()
     for r in made:
         own = [(role, text) for conv, _, role, text in rows if conv == r["conv_id"]]
         assert [(t["role"], t["text"]) for t in r["turns"]] == own
@@ -376,6 +376,18 @@ def test_chat_round_trip_of_odd_texts(spark):
         assert all(r["formatted"][s["start"] :].startswith(s["text"]) for s in r["segments"])
 
 
+def test_chat_long_conversation_and_its_mask(spark):
+    """20,000 turns: offsets and read-back in time that grows with the text; a mask that doesn't fit the text yields none of it."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn <{i}> " + "x" * (i % 50)) for i in range(20_000)]
+    made = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    moved = F.transform(F.col("segments"), lambda s: F.struct(s["text"].alias("text"), s["loss"].alias("loss"), (s["start"] + 1).alias("start")))
+    (r,) = made.select("*", chat_format.loss_text(F.col("formatted"), F.col("segments")).alias("loss"), chat_format.loss_text(F.col("formatted"), moved).alias("off")).collect()
+    assert r["valid"] and r["n_turns"] == 20_000 and r["off"] != r["loss"]
+    assert r["loss"] == "".join(text for *_, role, text in rows if role == "assistant")
+    ends = [s["start"] + len(s["text"]) for s in r["segments"]]
+    assert [s["start"] for s in r["segments"]] == [0, *ends[:-1]] and ends[-1] == len(r["formatted"])
+
+
 def test_chat_machine(spark):
     turns = {1: ["system", "user", "assistant"], 2: ["user", "assistant", "tool", "assistant"], 3: ["assistant"], 4: ["user", "user", "assistant"], 5: ["user"]}
     rows = [(c, i, role, "x") for c, roles in turns.items() for i, role in enumerate(roles)]
