@@ -14,6 +14,7 @@ import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -145,23 +146,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the adjacent pair of lowest rank (the leftmost of equals) is merged until none is left."""
+    """Ids of one slice: the adjacent pair of lowest rank (the leftmost of equals) is merged until none is left.
+
+    Parts are a linked list by start, pairs a heap by (rank, start); a pair is stale when its left part has another rank by then.
+    """
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pair = [ranks.get(parts[i] + parts[i + 1], 1 << 30) for i in range(len(parts) - 1)]
-    while pair:
-        best = min(pair)
-        if best == 1 << 30:
-            break
-        i = pair.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pair[i]
-        if i < len(pair):
-            pair[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-        if i:
-            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-    return [ranks[p] for p in parts]
+    n = len(piece)
+    end, back = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    heap = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        if pair[i] != rank:
+            continue
+        middle = end[i]
+        stop = end[i] = end[middle]
+        pair[middle] = -2  # swallowed
+        pair[i] = -1
+        if stop < n:
+            back[stop] = i
+            fresh = pair[i] = ranks.get(piece[i : end[stop]], -1)
+            if fresh >= 0:
+                heappush(heap, (fresh, i))
+        left = back[i]
+        if left >= 0:
+            fresh = pair[left] = ranks.get(piece[left:stop], -1)
+            if fresh >= 0:
+                heappush(heap, (fresh, left))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Merger:
@@ -238,7 +256,9 @@ class Merger:
 
 
 class PieceCache(dict):
-    """A bounded memo from slices to packed ids; what it lacks is merged together."""
+    """A memo from slices to packed ids; what it lacks is merged together.  It holds `most` entries of LONGEST characters at most."""
+
+    LONGEST = 64
 
     def __init__(self, merge, kind: str, most: int = 800_000):  # noqa: ANN001
         super().__init__()
@@ -254,7 +274,7 @@ class PieceCache(dict):
                 found[i] = made[pieces[i]]
             if len(self) + len(made) > self.most:
                 self.clear()
-            self.update(made)
+            self.update(item for item in made.items() if len(item[0]) <= self.LONGEST)
         return found
 
 
