@@ -7,7 +7,8 @@ radius agrees under one of the 2**(radius+1) - 1 masks at least.
 
 Distinct fingerprints only are compared (copies meet in one row by a pre-aggregated minimum); within a bucket a search
 from each found neighbour makes a spanning forest, never all pairs; components follow by alternating large and small
-stars with salted joins, each round written into the shared folder.
+stars, each round written into the shared folder.  In every join by fingerprint or component, keys with over a thousandth of the
+rows (a thousand of them at most) are joined by broadcast, so that no group of copies meets in one task.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; ties of a bit are 0; repeated
 rows keep their rows; an empty table gives an empty result.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-SEED, WIDTH, RADIUS, SALTS = 42, 4, 4, 8
+SEED, WIDTH, RADIUS = 42, 4, 4
 #: Buckets above this size are searched through further masks first.
 DIRECT = 16_384
 
@@ -130,7 +131,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     """Spanning links from rows (table, value, fp) sorted by bucket; a bucket may go over many batches."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-    carry = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    carry: list[list[np.ndarray]] = []  # the parts of the last bucket, joined when it ends
 
     def runs(table: np.ndarray, value: np.ndarray, fp: np.ndarray) -> None:
         nonlocal held
@@ -164,17 +165,24 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         found.clear()
         held = 0
 
+    kinds = (np.int32, np.int64, np.uint64)
     for batch in batches:
-        rows = [np.concatenate([c, batch.column(i).to_numpy(zero_copy_only=False).view(c.dtype)]) for i, c in enumerate(carry)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False).view(k) for i, k in enumerate(kinds)]
         if not len(rows[0]):
             continue
+        if carry and (carry[-1][0][-1] != rows[0][0] or carry[-1][1][-1] != rows[1][0]):
+            runs(*map(np.concatenate, zip(*carry)))
+            carry = []
         differs = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
         last = differs[-1] + 1 if len(differs) else 0
-        runs(*(r[:last] for r in rows))
-        carry = [r[last:] for r in rows]
+        if last:
+            runs(*map(np.concatenate, zip(*carry, [r[:last] for r in rows])))
+            carry = []
+        carry.append([r[last:].copy() for r in rows])
         if held > 1_000_000:
             yield from emit()
-    runs(*carry)
+    if carry:
+        runs(*map(np.concatenate, zip(*carry)))
     yield from emit()
 
 
@@ -187,12 +195,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return common.map_arrow(dealt, lambda batches: bucket_links(batches, radius), "a bigint, b bigint")
 
 
-def _lowest(edges: DataFrame, by: str, other: str) -> DataFrame:
-    """Each edge with the least of `by`, and all its others, as m; hot nodes are dealt over salts."""
-    least = edges.groupBy(by).agg(F.least(F.min(other), F.first(by)).alias("m"))
-    least = least.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    return salted.join(least, [by, "salt"]).select(by, other, "m")
+def _lowest(edges: DataFrame, by: str, other: str, rows: int) -> DataFrame:
+    """Each edge with the least of `by`, and all its others, as m."""
+    least = edges.groupBy(by).agg(F.least(F.min(other), F.first(by)).alias("m"), F.count("*").alias("n"))
+    return common.skew_join(edges, least, by, rows=rows).select(by, other, "m")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -200,22 +206,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is a written table; the loop ends when a round changes nothing.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = common.Stage(edges, "stars")
-    mark = None
+    tidy = lambda pairs: pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, mark = common.Stage(tidy(edges), "stars"), None
     for _ in range(rounds):
         have = now.read()
+        row = have.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if row == mark:
+            break
+        mark = row
         both = have.union(have.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _lowest(both, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _lowest(large, "a", "b")
+        large = _lowest(both, "a", "b", 2 * row[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _lowest(large, "a", "b", row[0])
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        after = common.Stage(star.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        after = common.Stage(tidy(star), "stars")
         now.drop()
         now = after
-        row = now.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if row == mark:
-            break
-        mark = row
     else:
         raise RuntimeError("components did not settle")
     return now.read().select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -224,14 +229,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """(id_col, fp bigint, component_id): component_id is the smallest id that links reach."""
     docs = common.staged(fingerprints(df, id_col, text_col, width).drop("text_key"), "fingerprints")
-    groups = common.staged(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")), "groups")
+    groups = common.staged(docs.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "groups")
     stars = components(links(groups.select("fp"), radius))
-    nodes = groups.join(stars, groups.fp == stars.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    joined = nodes.where("fp <> root").groupBy("root").agg(F.min("least_id").alias("m"))
-    roots = groups.join(joined, groups.fp == joined.root).select("root", F.least("least_id", "m").alias("m"))
-    mapped = nodes.join(roots, "root", "left").select("fp", F.coalesce("m", "least_id").alias("component_id"))
-    mapped = common.staged(mapped, "classes")
-    return docs.join(mapped, "fp", "left").select(id_col, "fp", "component_id")
+    nodes = common.staged(groups.join(stars, groups.fp == stars.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root")), "nodes")
+    classes = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    mapped = common.staged(common.skew_join(nodes.select("root", "fp", F.col("n").alias("rows")), classes, "root").select("fp", "component_id", F.col("rows").alias("n")), "classes")
+    return common.skew_join(docs, mapped, "fp").select(id_col, "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, docs: DataFrame, groups: DataFrame, stars: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
