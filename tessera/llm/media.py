@@ -2,8 +2,11 @@
 
 Media are 8-bit mono PCM in RIFF/WAVE containers.  Features: polyphase resampling by a rational factor with a windowed-sinc
 filter, overlapped log-mel filterbanks, and segments of energy found with two thresholds (hysteresis).  Filterbanks are
-cut into tensors of one fixed shape (FRAMES x BANDS), each with its time span; tensors are a list column of that length
-in Spark, and `arrow_tensors` makes Arrow's fixed-shape tensor array of them.
+cut into tensors of one fixed shape (FRAMES x BANDS), each with its time span; they are Arrow fixed-shape tensors
+(`arrow_tensors`), whose storage is a list column of that length in Spark.  A feature is computed from that storage.
+
+`store` makes each medium's file as a binary column, `describe` reads samples back from those bytes; between the two operators the
+files travel in Arrow batches and are not written to disk by themselves.
 
 Every medium is computed by itself with the same operations, so equal media have equal values.
 
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import common
 
 BLOCK, PAD, RATE = 576, b"\xff", 8000
-TARGET, FRAME, HOP, BANDS, FRAMES = 4000, 256, 128, 16, 32
+TARGET, FRAME, HOP, BANDS, FRAMES = 6000, 256, 128, 16, 32
+#: Outputs of one phase that are computed at a time.
+OUTPUTS = 1 << 14
 LOUD_DB, QUIET_DB, FLOOR = -1.0, -3.0, 1e-10
 
 
@@ -73,7 +78,7 @@ def phases(up: int, down: int, half: int = 6) -> np.ndarray:
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Polyphase resampling: output m takes the taps of phase (m * down) mod up."""
+    """Polyphase resampling: output m takes the taps of phase (m * down) mod up, whose outputs lie `down` samples apart."""
     common_factor = gcd(rate, target)
     up, down = target // common_factor, rate // common_factor
     if up == down:
@@ -82,16 +87,17 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     taps = rows.shape[1]
     m = -(-len(x) * up // down)
     delay = (rows.size - up) // 2 if up > 1 else (taps - 1) // 2
-    place = np.arange(m) * down + delay
-    last, phase = place // up, place % up
-    padded = np.concatenate([np.zeros(taps - 1, np.float32), x, np.zeros(max(0, int(last[-1]) + 1 - len(x)), np.float32)])
-    out = np.zeros(m, np.float32)
-    if up == 1:  # one phase: a strided correlation
-        first = int(last[0])
-        windows = np.lib.stride_tricks.sliding_window_view(padded[first:], taps)[: (m - 1) * down + 1 : down]
-        return windows @ rows[0, ::-1]
-    for j in range(taps):
-        out += rows[phase, j] * padded[last + taps - 1 - j]
+    last = (np.arange(min(up, m)) * down + delay) // up  # newest sample of each phase's first output
+    end = (m - 1) * down + delay
+    padded = np.concatenate([np.zeros(taps - 1, np.float32), x, np.zeros(max(0, end // up + 1 - len(x)), np.float32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
+    out = np.empty(m, np.float32)
+    for k, at in enumerate(last.tolist()):
+        own, phase = windows[at::down], rows[(k * down + delay) % up, ::-1]
+        count = -(-(m - k) // up)
+        for i in range(0, count, OUTPUTS):
+            n = min(OUTPUTS, count - i)
+            out[k + i * up : k + (i + n) * up : up] = own[i : i + n] @ phase
     return out
 
 
@@ -145,18 +151,17 @@ def features(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, f
     return full.reshape(n, FRAMES, BANDS), spans, segments(x, TARGET)
 
 
-def feature_digest(tensors: np.ndarray, spans: list, found: list) -> str:
-    """Mean, spread and energy segments as text, with a hash of the tensors in hundredths."""
-    rounded = np.round(tensors * 100).astype(np.int32)
-    share = sum(b - a for a, b in found) / max(spans[-1][1], 1e-9)
-    return f"{len(tensors)}x{FRAMES}x{BANDS};mean={rounded.mean():.2f};sd={rounded.std():.2f};segments={len(found)};active={share:.3f};crc={zlib.crc32(rounded.tobytes()):08x}"
+def arrow_tensors(values: np.ndarray, shape: tuple[int, int] = (FRAMES, BANDS)) -> pa.FixedShapeTensorArray:
+    """Arrow's fixed-shape tensors of an array (n, *shape), or of a flat one."""
+    flat = pa.array(np.ascontiguousarray(values, np.float32).ravel())
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), pa.FixedSizeListArray.from_arrays(flat, shape[0] * shape[1]))
 
 
-def arrow_tensors(values: pa.Array, shape: tuple[int, int] = (FRAMES, BANDS)) -> pa.FixedShapeTensorArray:
-    """Arrow's fixed-shape tensors of a list column whose lists have the shape's size."""
-    kind = pa.fixed_shape_tensor(pa.float32(), shape)
-    flat = values.flatten() if not isinstance(values, pa.FixedSizeListArray) else values.values
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), shape[0] * shape[1]))
+def feature_digest(tensors: pa.FixedShapeTensorArray, spans: list, found: list) -> str:
+    """Mean, spread and energy segments as text, with a hash of the tensors' storage in hundredths."""
+    rounded = np.round(tensors.storage.values.to_numpy() * 100).astype(np.int32)
+    share = sum(b - a for a, b in found) / max(spans[-1][1], 1e-9)
+    return f"{len(tensors)}x{FRAMES}x{BANDS};mean={rounded.mean():.2f};sd={rounded.std():.2f};segments={len(found)};active={share:.3f};crc={zlib.crc32(rounded.tobytes()):08x}"
 
 
 def extract(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -174,7 +179,8 @@ def extract(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                 rows.append((key, None, None, None, None, None, str(e)))
                 continue
             listed = [{"start_s": a, "end_s": b} for a, b in found]
-            rows += [(key, i, *span, tensor.ravel(), listed if i == 0 else None, None) for i, (tensor, span) in enumerate(zip(tensors, spans))]
+            stored = arrow_tensors(tensors).storage.values.to_numpy().reshape(len(tensors), -1)
+            rows += [(key, i, *span, stored[i], listed if i == 0 else None, None) for i, span in enumerate(spans)]
         kinds = [chunk.column(0).type, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32()), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [id_col, "chunk", "start_s", "end_s", "tensor", "segments", "error"])
 
@@ -201,7 +207,8 @@ def describe(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         out: list[tuple] = []
         for key, n, media in zip(*(chunk.column(i).to_pylist() for i in range(3))):
             samples, rate = read_wave(media)
-            text = feature_digest(*features(samples, rate))
+            tensors, spans, found = features(samples, rate)
+            text = feature_digest(arrow_tensors(tensors), spans, found)
             out.append((key, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), text))
         kinds = [chunk.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

@@ -50,6 +50,20 @@ def test_bpe_round_trip(text):
     assert byte_bpe.decode_ids(ids, RANKS).decode() == text
 
 
+def test_long_slices_equal_the_library():
+    """Slices without blanks: merged in time that grows as n log n, and not held in the memo."""
+    draw = random.Random(2)
+    for letters, n in (("etaoinshrdlu", 1_000_000), ("ab", 50_000), ("\U0001f600漢é", 20_000)):
+        text = "".join(draw.choices(letters, k=n))
+        cache = byte_bpe.merge_cache(RANKS)
+        (ids,) = byte_bpe.encode_pieces([text], cache)
+        assert ids.tolist() == reference_bpe.encode_ordinary(text)
+        assert text not in cache
+    own = Tokenizer.from_file(JSON)
+    text = "x <|endoftext|> " + "".join(draw.choices("etaoinshrdlu", k=30_000))
+    assert packing.encode_texts([text, text[16:]], JSON)[0].tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_offsets_cut_the_text(spark, texts):
     rows = byte_bpe.encode(spark.read.parquet(f"{SF}/documents.parquet"), RANKS).limit(20).collect()
     table = byte_bpe.id_bytes(RANKS)[0]
@@ -469,6 +483,67 @@ def test_media_query(spark, texts):
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def _feature_by_definition(payload):
+    """The query's feature from the formulas alone: zero-stuffing, the whole filter, a discrete Fourier sum, triangles and thresholds."""
+    up, down = 3, 4
+    t = np.arange(49) - 24
+    taps = np.sinc(t / 4) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(49) / 48))
+    taps *= up / taps.sum()
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    delay = (51 - 3) // 2
+    full = np.convolve(stuffed, taps)
+    full = np.concatenate([full, np.zeros(100)])
+    y = np.array([full[m * down + delay] for m in range(-(-len(x) * up // down))])
+    frames = max(1, -(-max(0, len(y) - 256) // 128) + 1)
+    y_padded = np.concatenate([y, np.zeros(frames * 128 + 256)])
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    hz = np.arange(129) * 6000 / 256
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 3000 / 700), 18) / 2595) - 1)
+    rows = []
+    for k in range(-(-frames // 32) * 32):
+        if k >= frames:
+            rows.append([-10.0] * 16)
+            continue
+        power = np.abs(wave @ (y_padded[k * 128 : k * 128 + 256] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)))) ** 2
+        bands = [sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for f, p in zip(hz, power)) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        rows.append([math.log10(v + 1e-10) for v in bands])
+    blocks = [y[i : i + 128] for i in range(0, len(y), 128)]
+    energy = np.array([(b**2).sum() / 128 for b in blocks])
+    on, spans = False, []
+    for i, e in enumerate(10 * np.log10((energy + 1e-10) / (energy.mean() + 1e-10))):
+        if not on and e >= -1 or on and e >= -3:
+            if not on:
+                spans.append([i, i])
+            on = True
+            spans[-1][1] = i + 1
+        else:
+            on = False
+    return np.array(rows), spans, len(y)
+
+
+def test_feature_against_its_definition(spark, texts):
+    chosen = [t for t in texts.values() if len(t) < 6000][:12]
+    for text in chosen:
+        payload = media.payload_of(text.encode())
+        rows, spans, n = _feature_by_definition(payload)
+        tensors, own_spans, found = media.features(payload, media.RATE)
+        assert tensors.reshape(-1, 16) == pytest.approx(rows, abs=5e-3)
+        assert len(own_spans) == len(rows) // 32 and own_spans[-1][1] == pytest.approx(n / 6000)
+        assert [x for a, b in spans for x in (a * 128 / 6000, min(b * 128, n) / 6000)] == pytest.approx([x for span in found for x in span])
+        digest = media.feature_digest(media.arrow_tensors(tensors), own_spans, found)
+        share = sum(b - a for a, b in found) / own_spans[-1][1]
+        assert digest.startswith(f"{len(rows) // 32}x32x16;") and f"segments={len(spans)};active={share:.3f};" in digest
+
+
+def test_long_media_are_resampled_in_blocks():
+    x = np.random.default_rng(4).random(400_000, np.float32)
+    whole = media.resample(x, 8000, 6000)
+    part = media.resample(x[:40_000], 8000, 6000)
+    assert whole[:29_000] == pytest.approx(part[:29_000], abs=1e-5)
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=40, deadline=None)
 def test_wave_round_trip(raw):
@@ -499,7 +574,7 @@ def test_a_tone_lights_its_band_and_its_span():
 def test_arrow_tensors(spark):
     rows = spark.createDataFrame([(1, "x" * 3000)], "doc_id bigint, text string")
     table = media.extract(media.store(rows)).toArrow()
-    tensors = media.arrow_tensors(table["tensor"].combine_chunks())
+    tensors = media.arrow_tensors(table["tensor"].combine_chunks().flatten().to_numpy())
     assert isinstance(tensors.type, pa.FixedShapeTensorType) and tensors.to_numpy_ndarray().shape[1:] == (media.FRAMES, media.BANDS)
     bad = spark.createDataFrame([(1, b"no wave"), (2, None)], "doc_id bigint, media binary")
     assert [r["error"] is not None for r in media.extract(bad).collect()] == [True, True]
