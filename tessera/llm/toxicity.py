@@ -2,9 +2,11 @@
 
 Token labels come from document labels: within labelled documents, a word or word beginning whose documents are toxic far
 too often for chance marks its tokens toxic (distant supervision); tokens labelled by hand can be given instead.
-The field has hashed word features for the tag difference, tag transitions and a start; it is fitted by gradient on
-windows of a bounded sample.  Forward-backward marginals over a whole text give spans of offending offsets and, through a
-calibrated logistic of their largest value and expected number, the document's score.
+The field has hashed word features for the tag difference, tag transitions and a start; it is fitted by gradient on the
+whole texts of at most `sample` labelled documents.  Forward-backward marginals over a whole text give spans of offending offsets and, through a
+logistic of their largest value and of the expected number of toxic tokens among likely ones, calibrated on the same whole texts, the document's score.
+
+The driver holds the sample as numbers: 4 bytes a token and its distinct words; each step of the fit goes over them in parts of PART tokens.
 
 Inference is exact for any length: each token is a 2x2 matrix, blocks of tokens are multiplied side by side, and block
 products are chained; a document's first token is a matrix that forgets what came before.
@@ -16,9 +18,8 @@ labels and labels without a document are left out; without labels every score is
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-SIZE, WINDOW, WINDOWS, SAMPLE, BLOCK = 1 << 16, 64, 24, 2400, 64
+SIZE, SAMPLE, BLOCK, PART = 1 << 16, 4000, 64, 1 << 16
 _EDGES = re.compile(r"^\W+|\W+$")
 _TOKEN = re.compile(r"\S+")
 
@@ -110,59 +111,84 @@ def marginals(odds: np.ndarray, first: np.ndarray, transitions: np.ndarray, star
     return (f1 / (f0 + f1)).T.ravel()[:n]
 
 
-def token_labels(windows: list[list[str]], owners: list[int], toxic: dict[int, int]) -> list[list[int]]:
+@dataclass
+class Corpus:
+    """Labelled texts as word numbers: the distinct words, all tokens in order, where each text ends, and each text's label."""
+
+    words: list[str]
+    tokens: np.ndarray
+    ends: np.ndarray
+    toxic: np.ndarray
+
+    @staticmethod
+    def of(texts: list[tuple[list[str], np.ndarray, int]]) -> Corpus:
+        """From each text's distinct words, its tokens as numbers of these, and its label."""
+        known: dict[str, int] = {}
+        parts = [np.array([known.setdefault(w, len(known)) for w in words], np.int32)[own] if len(own) else np.zeros(0, np.int32) for words, own, _ in texts]
+        ends = np.cumsum([len(p) for p in parts]) if parts else np.zeros(0, np.int64)
+        return Corpus(list(known), np.concatenate(parts) if parts else np.zeros(0, np.int32), ends, np.array([y > 0 for *_, y in texts], bool))
+
+    def texts(self) -> Iterator[tuple[int, int]]:
+        yield from zip(np.concatenate(([0], self.ends[:-1])).tolist(), self.ends.tolist())
+
+    def parts(self, most: int = PART) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, starts of texts within) of runs of whole texts of about `most` tokens; a longer text is a part by itself."""
+        begin, first = 0, []
+        for a, b in self.texts():
+            if b > a:
+                if first and b - begin > most:
+                    yield begin, a, np.array(first)
+                    begin, first = a, []
+                first.append(a - begin)
+        if first:
+            yield begin, int(self.ends[-1]), np.array(first)
+
+
+def token_labels(corpus: Corpus) -> np.ndarray:
     """1 for tokens whose word or beginning stands in toxic documents far beyond chance, within toxic documents only."""
-    bad: Counter = Counter()
-    good: Counter = Counter()
-    by_doc: dict[int, set[str]] = {}
-    for words, doc in zip(windows, owners):
-        by_doc.setdefault(doc, set()).update(g for w in set(words) for g in beginnings(w))
-    for doc, grams in by_doc.items():
-        (bad if toxic[doc] else good).update(grams)
-    n_bad = sum(toxic[d] for d in by_doc)
-    n_good = len(by_doc) - n_bad
-    rate = max(n_bad, 1) / max(len(by_doc), 1)
-    need = np.log(max(len(bad), 2)) + 4.6
-
-    def evidence(gram: str) -> bool:
-        x, y = bad[gram], good[gram]
-        share = x / (x + y)
-        gain = x * np.log(share / rate) + (y * np.log((1 - share) / (1 - rate)) if y else 0.0)
-        return share >= 0.8 and share > rate and gain >= need
-
-    marks = {g for g in bad if evidence(g)} if n_bad and n_good else set()
-    return [[int(toxic[doc] and any(g in marks for g in beginnings(w))) for w in words] for words, doc in zip(windows, owners)]
-
-
-def fit_chain(windows: list[list[str]], tags: list[list[int]], steps: int = 45, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, transitions, start) by Adam on the windows' log-likelihood."""
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in windows for w in words], np.int64)
-    y = np.array([t for row in tags for t in row], np.int64)
-    sizes = np.array([len(w) for w in windows])
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    inner = np.ones(len(ids), bool)
-    inner[first] = False
-    grams = [word_features(w) for w in vocabulary]
+    grams: dict[str, int] = {}
+    own = [np.array([grams.setdefault(g, len(grams)) for g in beginnings(w)], np.int32) for w in corpus.words]
+    seen = np.zeros((2, len(grams)), np.int64)
+    for (a, b), toxic in zip(corpus.texts(), corpus.toxic.tolist()):
+        if b > a:
+            seen[int(toxic), np.unique(np.concatenate([own[w] for w in np.unique(corpus.tokens[a:b]).tolist()]))] += 1
+    n_bad, n = int(corpus.toxic.sum()), len(corpus.toxic)
+    if not n_bad or n_bad == n:
+        return np.zeros(len(corpus.tokens), np.int8)
+    good, bad = seen
+    rate, need = n_bad / n, np.log(max((bad > 0).sum(), 2)) + 4.6
+    share = bad / np.maximum(good + bad, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(bad > 0, bad * np.log(share / rate), 0) + np.where(good > 0, good * np.log((1 - share) / (1 - rate)), 0)
+    marked = (share >= 0.8) & (share > rate) & (gain >= need)
+    words = np.array([bool(marked[g].any()) for g in own], bool)
+    return (words[corpus.tokens] & np.repeat(corpus.toxic, np.diff(np.concatenate(([0], corpus.ends))))).astype(np.int8)
+
+
+def fit_chain(corpus: Corpus, tags: np.ndarray, steps: int = 60, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, transitions, start) by Adam on the texts' log-likelihood."""
+    grams = [word_features(w) for w in corpus.words]
     column = np.concatenate([np.array(g, np.int64) for g in grams])
     owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     used, column = np.unique(column, return_inverse=True)
-    values = [np.zeros(len(used)), np.array([[1.0, -1.0], [-1.0, 0.0]]), np.array([0.0, -2.0])]
-    bias = np.array([-2.0])
-    values.append(bias)
+    values = [np.zeros(len(used)), np.array([[1.0, -1.0], [-1.0, 0.0]]), np.array([0.0, -2.0]), np.array([-2.0])]
     first_m, second_m = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    before, here = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[before], y[here]), 1)
-    seen_start = np.bincount(y[first], minlength=2)
-    scale = 1 / max(1.0, y.sum())
+    scale = 1 / max(1.0, float(tags.sum()))
     for step in range(1, steps + 1):
         w, t, s, bias = values
-        odds = (np.bincount(owner, w[column], len(grams)) + bias[0])[ids]
-        p = marginals(odds, first, t, s)
-        pair = pair_marginals(t, p[before], p[here])
-        error = np.bincount(ids, y - p, len(grams))
-        gradients = [np.bincount(column, error[owner], len(used)) * scale - penalty * w, (seen - pair) * scale, (seen_start - np.array([(1 - p[first]).sum(), p[first].sum()])) * scale, np.array([(y - p).sum() * scale])]
+        odds = np.bincount(owner, w[column], len(grams)) + bias[0]
+        error, moves, begins = np.zeros(len(grams)), np.zeros((2, 2)), np.zeros(2)
+        for a, b, first in corpus.parts():
+            ids, y = corpus.tokens[a:b], tags[a:b]
+            p = marginals(odds[ids], first, t, s)
+            error += np.bincount(ids, y - p, len(grams))
+            inner = np.ones(len(ids), bool)
+            inner[first] = False
+            here = np.flatnonzero(inner)
+            seen = np.bincount(2 * y[here - 1] + y[here], minlength=4).reshape(2, 2)
+            moves += seen - pair_marginals(t, p[here - 1], p[here])
+            begins += np.bincount(y[first], minlength=2) - np.array([(1 - p[first]).sum(), p[first].sum()])
+        gradients = [np.bincount(column, error[owner], len(used)) * scale - penalty * w, moves * scale, begins * scale, np.array([error.sum() * scale])]
         for i, g in enumerate(gradients):
             first_m[i] = 0.9 * first_m[i] + 0.1 * g
             second_m[i] = 0.99 * second_m[i] + 0.01 * g * g
@@ -187,9 +213,12 @@ def pair_marginals(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def document_features(p: np.ndarray) -> tuple[float, float]:
-    """Log odds of the largest marginal, and the log of the expected number."""
+    """Log odds of the largest marginal, and the log of the expected number among tokens that are likelier toxic than not.
+
+    Unlikely tokens are left out, as many of them would make a long text look toxic.
+    """
     top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
-    return float(np.log(top / (1 - top))), float(np.log1p(p.sum())) if len(p) else 0.0
+    return float(np.log(top / (1 - top))), float(np.log1p(p[p >= 0.5].sum())) if len(p) else 0.0
 
 
 def fit_calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -209,38 +238,34 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ChainModel:
-    """The model of at most `sample` labelled documents, and of each at most WINDOWS windows of WINDOW tokens, evenly spread."""
+    """The model of the whole texts of at most `sample` labelled documents, in the order of a hash of their ids."""
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = rated.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").select("id", "text", "y")  # `sample` rows at most
+    joined = texts.join(F.broadcast(chosen), "id").withColumn("key", common.text_key(F.col("text")))  # `sample` labels at most are broadcast
 
     def make(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        words, tokens = [], []
         for text in chunk.column(1).to_pylist():
-            words = text.lower().split()
-            parts = [" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
-            out.append(parts if len(parts) <= WINDOWS else [parts[i * len(parts) // WINDOWS] for i in range(WINDOWS)])
-        return pa.RecordBatch.from_arrays([chunk.column(0), pa.array(out, pa.list_(pa.string())), chunk.column(2)], ["id", "windows", "y"])
+            known: dict[str, int] = {}
+            tokens.append(np.array([known.setdefault(w, len(known)) for w in text.lower().split()], "<i4").tobytes())
+            words.append(list(known))
+        return pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), chunk.column(3), pa.array(words, pa.list_(pa.string())), pa.array(tokens, pa.binary())], ["id", "y", "key", "words", "tokens"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    table = common.map_chunks(joined, make, f"id {kind}, windows array<string>, y int").toArrow()
-    rows = sorted(zip(table["id"].to_pylist(), table["windows"].to_pylist(), table["y"].to_pylist()))
+    table = common.map_chunks(joined.select("id", "text", "y", "key"), make, f"id {kind}, y int, key bigint, words array<string>, tokens binary")
+    # Rows that repeat an id may be more than the labels: the sample is cut once more before anything comes to the driver.
+    table = table.orderBy(F.xxhash64("id"), "id", "y", "key").limit(sample).toArrow()
+    corpus = Corpus.of([(w.as_py(), np.frombuffer(t.as_py(), "<i4"), y.as_py()) for w, t, y in zip(table["words"], table["tokens"], table["y"])])
     del table
-    toxic = {i: int(y > 0) for i, (_, _, y) in enumerate(rows)}
-    if not rows or len(set(toxic.values())) < 2:
+    if not len(corpus.tokens) or len(set(corpus.toxic.tolist())) < 2:
         return ChainModel(np.zeros(SIZE + 1), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
-    windows = [([sys.intern(x) for x in w.split()], i) for i, (_, parts, _) in enumerate(rows) for w in parts]
-    tokens, owners = [w for w, _ in windows], [i for _, i in windows]
-    tags = token_labels(tokens, owners, toxic)
-    weights, transitions, start = fit_chain(tokens, tags)
-    model = ChainModel(weights, transitions, start, np.zeros(3))
-    odds = np.array([word_odds(w, weights) for words in tokens for w in words])
-    sizes = np.array([len(w) for w in tokens])
-    doc_of = np.repeat(np.array(owners), sizes)
-    p = marginals(odds, np.flatnonzero(np.diff(np.concatenate(([-1], doc_of)))), transitions, start)
-    x = np.array([document_features(p[a:b]) for a, b in zip(np.searchsorted(doc_of, range(len(rows))), np.searchsorted(doc_of, range(len(rows)), "right"))])
-    return ChainModel(model.weights, model.transitions, model.start, fit_calibration(x, np.array([toxic[i] for i in range(len(rows))])))
+    weights, transitions, start = fit_chain(corpus, token_labels(corpus))
+    odds = np.array([word_odds(w, weights) for w in corpus.words])
+    x = []
+    for a, b in corpus.texts():
+        x.append(document_features(marginals(odds[corpus.tokens[a:b]], np.zeros(min(1, b - a), np.int64), transitions, start)))
+    return ChainModel(weights, transitions, start, fit_calibration(np.array(x), corpus.toxic.astype(float)))
 
 
 def word_odds(word: str, weights: np.ndarray) -> float:

@@ -451,6 +451,47 @@ def test_pair_marginals_by_enumeration():
     assert toxicity.pair_marginals(t, p[:-1], p[1:]) == pytest.approx(pairs / total)
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    """Precision and recall of the registered query on labels that it didn't see, and scores by brute force over all tag sequences."""
+    found = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    labels = [r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["toxic"] is not None and found[r["doc_id"]]["held_out"]]
+    hit = [found[r["doc_id"]]["predicted"] for r in labels if r["toxic"]]
+    wrong = [found[r["doc_id"]]["predicted"] for r in labels if not r["toxic"]]
+    assert sum(hit) >= 0.6 * len(hit) and sum(wrong) <= 0.02 * len(wrong)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found.values())
+    assert {i for i, r in found.items() if r["held_out"]} == {i for i in found if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_scores_by_enumeration(spark):
+    rows = [(i, "you utter trash person today" if i % 3 == 0 else "a calm walk by the river today", int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    asked = ["trash walk", "a river of trash person", "", "calm today you"]
+    found = {r["doc_id"]: r for r in toxicity.tag(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).collect()}
+    for i, text in enumerate(asked):
+        odds = [toxicity.word_odds(w, model.weights) for w in text.split()]
+        total, marginal = 0.0, np.zeros(len(odds))
+        for tags in itertools.product((0, 1), repeat=len(odds)):
+            weight = math.exp(sum(o * t for o, t in zip(odds, tags)) + (model.start[tags[0]] if tags else 0) + sum(model.transitions[a, b] for a, b in zip(tags, tags[1:])))
+            total += weight
+            marginal += weight * np.array(tags)
+        p = marginal / total
+        top = min(max(p.max(initial=1e-6), 1e-6), 1 - 1e-6)
+        x = model.calibration @ [1, math.log(top / (1 - top)), math.log1p(p[p >= 0.5].sum())]
+        assert found[i]["score"] == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-6)
+
+
+def test_long_toxic_and_clean_texts(spark):
+    """Whole texts count: one toxic passage in 60,000 words, at any place, and a clean text of that length."""
+    rows = [(i, "you utter trash person today" if i % 3 == 0 else "a calm walk by the river today", int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    calm = "a calm walk by the river today " * 4300
+    asked = [calm + "you utter trash person", "you utter trash person " + calm, calm * 2, "x" * 1_000_000]
+    found = [r["predicted"] for r in toxicity.tag(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    assert found == [1, 1, 0, 0]
+
+
 def test_toxic_documents_are_found_on_held_out_rows(spark):
     draw = random.Random(6)
     plain = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(400)]
