@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import weights
 from tessera.operators import terms
+from tessera.session import stored
 
 #: Query terms up to this number are looked up as literals, which reach the scan of the postings.
 LITERAL_TERMS = 500
@@ -45,9 +46,12 @@ class InvertedIndex:
         return InvertedIndex(united, vocab, norms, n_docs)
 
     def write(self, path: str) -> InvertedIndex:
-        """Stores the tables and opens them again; what follows from the postings is read from them."""
+        """Stores the tables and opens them again; what follows from the postings is read from them.
+
+        The weighted rows are written before they are sorted by range, as the sample for the ranges would compute them once more.
+        """
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored(self.postings, "weighted").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         held = spark.read.parquet(f"{path}/postings")
         terms.document_frequency(held).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
         terms.norms(held).write.mode("overwrite").parquet(f"{path}/doc_norms")

@@ -1,7 +1,9 @@
 """Exhaustive ranking over sparse vectors with a choice of metric; the check of the inverted index.
 
-Documents that share a term with a query are scored by joins on terms; of the others, which only a few numbers tell apart, each
-query keeps its best k before anything is shuffled.
+Documents that share a term with a query are scored by joins on terms.  What the others are scored follows from one number of
+the document, in the same order for all queries, so the few of them that can be among any query's best k are found
+once (`fill_cosine`, `fill_minkowski`) and laid beside each query: documents and queries are never crossed.  Chebyshev alone compares
+maps of documents with those of the stated query set.
 """
 
 from __future__ import annotations
@@ -9,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tessera.functions import weights
 from tessera.operators import index, terms
@@ -99,14 +102,39 @@ def cosine_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return all_pairs(queries, docs).join(cosine_touched(queries, docs), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def best_of(touched: DataFrame, apart: DataFrame, k: int, digits: int | None, descending: bool) -> DataFrame:
-    """The best k of each query, where sharing a term never makes a score worse.
+def fill_cosine(docs: DataFrame, k: int) -> list[tuple]:
+    """(doc_id, 0.0) of the k documents of least id: untouched documents score 0, and no touched one scores less."""
+    return [(r["doc_id"], 0.0) for r in docs.select("doc_id").distinct().orderBy("doc_id").limit(k).collect()]
+
+
+def fill_minkowski(queries: DataFrame, docs: DataFrame, k: int, p: float, digits: int | None) -> list[tuple]:
+    """(doc_id, own sum) of the documents that can be among the best k of a query with which they share no term.
 
-    A document without shared terms can be among the best only if it is among the best k by `apart`, so only those
-    k rows a query are kept of all pairs, and they are cut on the side of the documents, before the shuffle.
+    Without a shared term a distance grows with the document's own sum of powers.  Of documents with equal sums (to 12 digits) the
+    k of least id count; of sums the k least, and those that rounding to `digits` can make equal to the k-th.
     """
-    fill = index.best(apart, k, digits, descending).select("query_id", "doc_id", "score")
-    rest = fill.join(touched, ["query_id", "doc_id"], "left_anti")
+    power = _power(p)
+    sums = docs.groupBy("doc_id").agg(F.round(F.sum(power(F.col("w"))), 12).alias("d"))
+    own = sums.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("doc_id"))).where(F.col("r") <= k)
+    least = [r["d"] for r in own.select("d").distinct().orderBy("d").limit(k).collect()]
+    if not least:
+        return []
+    step = 0.0 if digits is None else 10.0**-digits
+    widest = queries.groupBy("query_id").agg(F.sum(power(F.col("w"))).alias("q")).agg(F.max("q")).first()[0] or 0.0
+    score = (least[-1] + widest) ** (1 / p) + step
+    limit = least[-1] + 1.01 * p * score ** (p - 1) * step + 1e-9 * (1 + least[-1])
+    return [(r["doc_id"], r["d"]) for r in own.where(F.col("d") <= limit).select("doc_id", "d").collect()]
+
+
+def beside(queries: DataFrame, fill: list[tuple], kind: DataType) -> DataFrame:
+    """(query_id and the other columns, doc_id, d): the fill's rows beside each query, as literals."""
+    rows = F.array(*(F.struct(F.lit(i).cast(kind).alias("doc_id"), F.lit(float(d)).alias("d")) for i, d in fill))
+    return queries.withColumn("f", F.explode(rows)).select(*queries.columns, "f.doc_id", "f.d")
+
+
+def best_of(touched: DataFrame, apart: DataFrame, k: int, digits: int | None, descending: bool) -> DataFrame:
+    """The best k of each query, where sharing a term never makes a score worse, from scores of touched documents and of the fill."""
+    rest = apart.join(touched, ["query_id", "doc_id"], "left_anti")
     return index.best(touched.unionByName(rest), k, digits, descending)
 
 
@@ -115,16 +143,20 @@ METRICS = ("cosine", "manhattan", "euclidean", "chebyshev")
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str | float = "cosine", digits: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) over all documents with non-negative weights; a number is Minkowski's p."""
+    kind = docs.schema["doc_id"].dataType
     powers = {"manhattan": 1.0, "euclidean": 2.0, "chebyshev": float("inf")}
     if metric == "cosine":
-        apart = all_pairs(queries, docs).withColumn("score", F.lit(0.0))
+        apart = beside(queries.select("query_id").distinct(), fill_cosine(docs, k), kind).withColumnRenamed("d", "score")
         return best_of(cosine_touched(queries, docs), apart, k, digits, descending=True)
     p = powers.get(metric) if isinstance(metric, str) else float(metric)
     if p is None or p < 1:
         raise ValueError(f"unknown metric: {metric}")
     if p == float("inf"):
         return index.best(chebyshev_scores(queries, docs), k, digits, descending=False)
-    return best_of(minkowski_touched(queries, docs, p), minkowski_apart(queries, docs, p), k, digits, descending=False)
+    power = _power(p)
+    sums = queries.groupBy("query_id").agg(F.sum(power(F.col("w"))).alias("q"))
+    apart = beside(sums, fill_minkowski(queries, docs, k, p, digits), kind).select("query_id", "doc_id", _root(F.col("d") + F.col("q"), p).alias("score"))
+    return best_of(minkowski_touched(queries, docs, p), apart, k, digits, descending=False)
 
 
 def top_k_by(queries: DataFrame, docs: DataFrame, metric: Callable[[dict[str, float], dict[str, float]], float], k: int = 5, higher_is_better: bool = True) -> DataFrame:

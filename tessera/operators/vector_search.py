@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ from tessera.functions import vectors
 from tessera.operators import index
 from tessera.session import ship
 
-#: Query vectors held by a task at a time; more queries are further passes.
-QUERY_BLOCK = 2048
+#: Vectors of a block: of rows, and of queries.
+BLOCK = 2048
 
 
 def cosine_top_k(rows: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", emb_col: str = "embedding", digits: int | None = None) -> DataFrame:
@@ -27,48 +27,75 @@ def cosine_top_k(rows: DataFrame, query: list[float], k: int = 10, id_col: str =
     return scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def _blocks(df: DataFrame, id_col: str, emb_col: str) -> DataFrame:
+    """(block, ids, vectors): rows as matrices of BLOCK rows at most; `vectors` are packed 64-bit floats."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                own = batch.slice(i, BLOCK)
+                data = own.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([own.column(0).to_pylist()], pa.list_(own.column(0).type)), pa.array([data.tobytes()], pa.binary())], ["ids", "vectors"])
+
+    rows = df.where(F.col(emb_col).isNotNull()).select(id_col, emb_col)
+    return rows.mapInArrow(pack, f"ids array<{kind}>, vectors binary")
+
+
 def cosine_top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", emb_col: str = "embedding", query_col: str = "query_id", digits: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) for a stated set of queries (query_col, emb_col).
 
-    Blocks of queries come to the driver and go to every task as a matrix; each Arrow batch keeps its best k for each
-    query, so the shuffle carries k rows for each query and batch.
+    Queries and rows are blocks, packed on the executors; each block of rows meets each block of queries once, by a join on the
+    query block's number, and keeps the best k of each query, so that the last shuffle carries k rows for each query and block.
     """
     ship(rows.sparkSession)
-    total = queries.where(F.col(emb_col).isNotNull()).select(query_col, emb_col).orderBy(query_col)
-    out = None
-    block: list = []
-    blocks: list[list] = []
-    for row in total.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
+    parts = max(1, -(-queries.count() // BLOCK))
+    number = F.pmod(F.xxhash64(query_col), F.lit(parts)).cast("int")
+    dealt = queries.withColumn("__b", number).repartition(parts, "__b") if parts > 1 else queries.coalesce(1)
+    asked = _blocks(dealt, query_col, emb_col).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # Blocks of queries are numbered by a hash of their first id, those of rows are dealt to every number.
+    asked = asked.withColumn("b", F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(parts)).cast("int"))
+    held = _blocks(rows, id_col, emb_col).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     row_type, query_type = rows.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
-    for own in blocks:
-        names = [r[0] for r in own]
-        q = np.array([r[1] for r in own], np.float64).reshape(len(own), -1)
-        size = np.linalg.norm(q, axis=1)
-
-        def near(batches: Iterator[pd.DataFrame], names: list = names, q: np.ndarray = q, size: np.ndarray = size) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf) or not len(names):
-                    continue
-                x = np.array(pdf[emb_col].tolist(), np.float64)
-                both = np.linalg.norm(x, axis=1)[:, None] * size[None, :]
-                score = np.where(both > 0, (x @ q.T) / np.where(both > 0, both, 1), 0.0)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, names = batch.column(0)[i].values, batch.column(2)[i].values
+                x, q = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(names))))
+                both = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                score = np.where(both > 0, (q @ x.T) / np.where(both > 0, both, 1), 0.0)
                 if digits is not None:
                     score = np.round(score, digits)
-                ids = pdf[id_col].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                for j, name in enumerate(names):
-                    top = order[np.argsort(-score[order, j], kind="stable")[:k]]
-                    yield pd.DataFrame({"query_id": [name] * len(top), "doc_id": ids[top], "score": score[top, j]})
-
-        part = rows.where(F.col(emb_col).isNotNull()).select(id_col, emb_col).mapInPandas(near, f"query_id {query_type}, doc_id {row_type}, score double")
-        out = part if out is None else out.union(part)
-    return index.best(out, k)
+                order = np.argsort(np.array(ids.to_pylist()), kind="stable")
+                score, n = score[:, order], min(k, len(ids))
+                # All that reach the k-th best score, by score and then by id, cut to k.
+                least = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+                row, at = np.nonzero(score >= least)
+                best = np.lexsort((at, -score[row, at], row))
+                row, at = row[best], at[best]
+                first = np.searchsorted(row, np.arange(len(names)))
+                keep = np.arange(len(row)) - first[row] < n
+                row, at = row[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(order[at])), pa.array(score[row, at])], ["query_id", "doc_id", "score"])
+
+    met = held.join(asked, "b").select("ids", "vectors", "q_ids", "q_vectors")
+    return index.best(met.mapInArrow(near, f"query_id {query_type}, doc_id {row_type}, score double"), k)
+
+
+def lsh_top_k_batch(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", emb_col: str = "embedding", query_col: str = "query_id", tables: int = 16, width: float = 1.0, seed: int = 42, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): approximate nearest by Euclidean hashing of unit vectors, exact cosines of what shares a bucket.
+
+    Only bucket numbers and ids are shuffled to find candidates; vectors are joined to the distinct pairs.
+    """
+    unit = lambda df, key, name: df.where(F.col(emb_col).isNotNull()).select(F.col(key).alias(name), vectors.normalized(F.col(emb_col)).alias("unit"))
+    held, asked = unit(rows, id_col, "doc_id"), unit(queries, query_col, "query_id")
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(held.limit(1).withColumn("features", array_to_vector("unit")))
+    buckets = lambda df, name: model.transform(df.withColumn("features", array_to_vector("unit"))).select(name, F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0].cast("int"))).alias("t", "h"))
+
+    pairs = buckets(asked, "query_id").join(buckets(held, "doc_id"), ["t", "h"]).select("query_id", "doc_id").distinct()
+    scored = pairs.join(held, "doc_id").join(asked.withColumnRenamed("unit", "other"), "query_id").select("query_id", "doc_id", vectors.dot(F.col("unit"), F.col("other")).alias("score"))
+    return index.best(scored, k, digits)
 
 
 def lsh_top_k(rows: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", emb_col: str = "embedding", tables: int = 8, width: float = 0.5, seed: int = 42) -> DataFrame:

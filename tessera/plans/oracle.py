@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import PUNCTUATION_AND_DIGITS, STOPWORDS
+from tessera.plans import fixtures
 
 K, CODEBOOK, WORDS, CENTROIDS, EVERY = 10, 1000, 32, 8, 20
 
@@ -67,6 +68,22 @@ def _minkowski(score: str) -> str:
     return _dense(f"{GAPS}, scored AS (SELECT query_id, doc_id, round({score}, 6) AS score FROM gaps GROUP BY query_id, doc_id)", "ASC")
 
 
+def _demo() -> str:
+    """All four metrics over the literal collections: every document counts for df, whatever its tf."""
+    parts = []
+    for modality, docs, queries in (("text", fixtures.TEXT, fixtures.TEXT_QUERIES), ("image", fixtures.IMAGE, fixtures.IMAGE_QUERIES), ("audio", fixtures.AUDIO, fixtures.AUDIO_QUERIES)):
+        values = lambda c: ", ".join(f"('{k}', '{t}', {n})" for k, own in c.items() for t, n in own.items())
+        base = f"tf(doc_id, term, tf) AS (VALUES {values(docs)}), q(query_id, term, tf) AS (VALUES {values(queries)}), {DF}, {WEIGHTS}, {UNITS}, {GAPS}"
+        scores = "dots AS (SELECT query_id, doc_id, sum(qu.w * d.w) AS c FROM qu JOIN d USING (term) GROUP BY query_id, doc_id), scored AS (" + " UNION ALL ".join(
+            [
+                "SELECT 'cosine' AS metric, query_id, doc_id, round(coalesce(c, 0), 6) AS score, -round(coalesce(c, 0), 6) AS place FROM grid LEFT JOIN dots USING (query_id, doc_id)",
+                *(f"SELECT '{m}', query_id, doc_id, round({e}, 6) AS score, round({e}, 6) FROM gaps GROUP BY query_id, doc_id" for m, e in (("manhattan", "sum(g)"), ("euclidean", "sqrt(sum(g * g))"), ("chebyshev", "max(g)"))),
+            ]
+        )
+        parts.append(f"SELECT * FROM (WITH {base}, {scores}) SELECT '{modality}' AS modality, metric, query_id, CAST(row_number() OVER (PARTITION BY metric, query_id ORDER BY place, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored QUALIFY rank <= 3)")
+    return " UNION ALL ".join(parts)
+
+
 def statements() -> dict[str, str]:
     safe = lambda c: f"trim(regexp_replace({c}, '[^a-zA-Z0-9._-]+', '_', 'g'), '_')"
     own = {
@@ -102,7 +119,7 @@ def statements() -> dict[str, str]:
         "scored AS (SELECT query_id, doc_id, round(coalesce(c, 0), 6) AS score FROM (SELECT DISTINCT query_id FROM qu) CROSS JOIN (SELECT DISTINCT doc_id FROM d) LEFT JOIN dots USING (query_id, doc_id)) "
         f"SELECT query_id, CAST({RANK} AS INTEGER) AS rank, doc_id, score FROM scored QUALIFY rank <= {K}",
         "sparse_dot": f"{BASE}, {FEW_QUERIES}, {UNITS} SELECT query_id, doc_id, round(sum(qu.w * d.w), 6) AS dot FROM qu JOIN d USING (term) GROUP BY query_id, doc_id",
-        "fts_and_topk": f"WITH {TF}, q AS (SELECT DISTINCT item_id AS query_id, unnest(({_words('text')})[1:2]) AS term FROM benchmark), sizes AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id), "
+        "fts_and_topk": f"WITH {TF}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_words('text')}) AS term FROM benchmark), sizes AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id), "
         "hits AS (SELECT query_id, doc_id, count(*) AS k, round(avg(1 + log10(tf)), 6) AS score FROM tf JOIN q USING (term) GROUP BY query_id, doc_id), "
         f"scored AS (SELECT query_id, doc_id, score FROM hits JOIN sizes USING (query_id) WHERE k = n) SELECT query_id, CAST({RANK} AS INTEGER) AS rank, doc_id, score FROM scored QUALIFY rank <= {K}",
         "vector_cosine_topk": f"WITH {COSINES} SELECT query_id, rank, doc_id, score FROM ranked",
@@ -132,6 +149,21 @@ def statements() -> dict[str, str]:
         "stream_ingest": f"{BASE}, {ALL_QUERIES}, {INDEX} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= {K}",
         "ranked_labels": "SELECT source, doc_id, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents QUALIFY rank <= 3",
     }
+    items = "SELECT CAST(p_partkey AS VARCHAR) AS stem, CASE WHEN p_size % 7 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END AS {}, p_brand AS {}, p_type AS {} FROM part"
+    own |= {
+        "music_metadata": items.format("title", "artist", "genre"),
+        "fashion_metadata": items.format("name", "category", "subcategory"),
+        "jsonl_corpus": f"WITH {TF} SELECT CAST(doc_id AS VARCHAR) AS doc_id, term, tf FROM tf",
+        "block_import": f"WITH {ALL_QUERIES} SELECT CAST(query_id AS VARCHAR) AS doc_id, term, tf FROM q",
+        "lyrics_rows": "SELECT CAST(doc_id AS VARCHAR) AS title, trim(source) AS artist, trim(lang) AS genre, md5(trim(text)) AS lyrics_md5 FROM documents WHERE length(trim(text)) >= 20",
+        "text_files": "SELECT CAST(item_id AS VARCHAR) AS stem, md5(text) AS text_md5, length(text) AS n_chars FROM benchmark",
+        "posting_lookup": f"WITH {TF}, {DF} SELECT doc_id, tf, df, (SELECT count(*) FROM df) AS vocab_size FROM tf JOIN (SELECT term, df FROM df ORDER BY df DESC, term LIMIT 1) USING (term)",
+        "cached_features": "SELECT CAST(label AS VARCHAR) AS doc_id, CAST(vec_id AS INTEGER) AS vec_idx, CAST(len(embedding) AS INTEGER) AS n_dims FROM embeddings",
+        "codebook_terms": f"WITH {TF}, {CODES} SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS place, term FROM codebook",
+        "search_log": "SELECT app, count(*) AS n, CAST(sum(i) AS DOUBLE) AS latency, CAST(sum(i) AS BIGINT) AS results FROM (SELECT i, CASE WHEN i % 2 = 1 THEN 'music' ELSE 'fashion' END AS app FROM range(6) t(i)) GROUP BY app",
+        "inserted_rows": "SELECT p_name AS title, p_brand AS artist, 2 * count(*) AS n, CAST(0 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS least, any_value(total) * 2 AS most, any_value(total) * 2 AS ids, '1,' || (any_value(total) + 1) AS firsts FROM part, (SELECT count(*) AS total FROM part) GROUP BY ALL",
+        "demo_metrics": _demo(),
+    }
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
     own["stopwords_tf"] = f"WITH {TF} SELECT doc_id, term, tf FROM tf WHERE term NOT IN ({stop})"
     return own

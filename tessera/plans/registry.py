@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors, weights
 from tessera.operators import clustering, evaluation, fulltext, index, pairing, similarity, terms, vector_search
+from tessera import schema
 from tessera.plans import fixtures, pipelines
 from tessera.session import scratch, stored
-from tessera.sources import synthetic
+from tessera.sources import catalogues, files, synthetic
 from tessera.sources.tables import Store
 from tessera.streaming import ingest
 
@@ -190,8 +191,8 @@ def etl_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_and_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Conjunctive search for the first two words of each query text."""
-    asked = benchmark(spark, sf).select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 2)).alias("term"))
+    """Conjunctive search for all words of each query text."""
+    asked = benchmark(spark, sf).select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
     return fulltext.search(_tf(spark, sf), asked, K, DIGITS)
 
 
@@ -221,8 +222,8 @@ def vector_cosine_one(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embeddings(spark, sf)
-    return vector_search.lsh_top_k(rows, list(rows.orderBy("vec_id").first()["embedding"]), K)
+    """Every 20th vector against all by hashing; tests hold its recall against the exact search."""
+    return vector_search.lsh_top_k_batch(embeddings(spark, sf), _vector_queries(spark, sf), K, digits=DIGITS)
 
 
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,8 +333,14 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_log_hours(spark: SparkSession, sf: str) -> DataFrame:
-    own = ingest.search_log_windows(events(spark, sf))
-    return own.select("start", "event_type", "n", F.round("avg_latency", DIGITS).alias("avg_latency"))
+    """The events as a stream of searches, each trigger's whole result replacing the one before."""
+    folder = scratch(spark, "log-hours")
+    stream = spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
+    # The table's times have no zone; they are read in the session's and turned back.
+    own = ingest.search_log_windows(stream.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("avg_latency", DIGITS).alias("avg_latency"))
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/windows")  # noqa: ARG005, E731
+    own.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/windows")
 
 
 def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,12 +394,106 @@ def ranked_labels(spark: SparkSession, sf: str) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(by)).where("rank <= 3")
 
 
+# ---- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _items(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """The products as items of a collection: stem and three columns of the given names, some blank."""
+    blank = F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name"))
+    return part(spark, sf).select(F.col("p_partkey").cast("string").alias("stem"), blank.alias(names[0]), F.col("p_brand").alias(names[1]), F.col("p_type").alias(names[2]))
+
+
+def _csv_back(names: tuple[str, str, str], read: Callable[[SparkSession, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        folder = scratch(spark, "metadata")
+        _items(spark, sf, *names).write.option("header", True).csv(folder)
+        return read(spark, folder)
+
+    return run
+
+
+def jsonl_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Term maps written as JSON lines and read as a corpus."""
+    folder = scratch(spark, "jsonl")
+    terms.as_maps(_tf(spark, sf)).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("hist").alias("tf"))).alias("value")).write.text(folder)
+    return catalogues.corpus(spark, folder)
+
+
+def block_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Posting lists of the query texts written as blocks of JSON lines and read back."""
+    folder = scratch(spark, "blocks")
+    lists = terms.posting_lists(_queries(spark, sf).withColumnRenamed("query_id", "doc_id"))
+    pairs = F.transform("postings", lambda p: F.array(p["doc_id"].cast("string"), p["tf"].cast("string")))
+    lists.select(F.to_json(F.struct(F.col("term").alias("t"), pairs.alias("p"))).alias("value")).write.text(folder)
+    return catalogues.blocks(spark, folder)
+
+
+def lyrics_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a catalogue of lyrics under other column names; short ones drop out."""
+    rows = documents(spark, sf).select(F.col("text").alias("lyrics"), F.col("doc_id").cast("string").alias("track_name"), F.col("source").alias("track_artist"), F.col("lang").alias("playlist_genre"))
+    return catalogues.lyrics_catalogue(rows).select("title", "artist", "genre", F.md5("lyrics").alias("lyrics_md5"))
+
+
+def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The query texts materialised as files with their metadata, and read back."""
+    folder = scratch(spark, "files")
+    own = benchmark(spark, sf).select(F.col("item_id").cast("string").alias("stem"), "text", F.char_length("text").alias("n_chars"))
+    files.write_texts(own, folder)
+    listed = spark.read.csv(f"{folder}/metadata.csv", header=True, escape='"')
+    return files.read_texts(spark, folder).join(listed, "stem").select("stem", F.md5("text").alias("text_md5"), F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+def posting_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings of the term of most documents, looked up in the stored index, with its df and the vocabulary's size."""
+    own = _index(spark, sf)
+    term = own.vocab.orderBy(F.desc("df"), "term").first()["term"]
+    return own.get_postings(term).select("doc_id", "tf", F.lit(own.df(term)).cast("bigint").alias("df"), F.lit(own.vocab_size()).cast("bigint").alias("vocab_size"))
+
+
+def cached_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows cached twice: the second time only documents that the cache lacks are added."""
+    store = Store(spark, scratch(spark, "features"))
+    rows = embeddings(spark, sf).select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("vec_idx"), F.col("embedding").cast("array<double>").alias("features"))
+    store.cache_features(rows.where("doc_id < '5'"))
+    store.cache_features(rows)
+    return store.read("features").select("doc_id", "vec_idx", F.size("features").alias("n_dims"))
+
+
+def codebook_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A codebook saved with its words and loaded again."""
+    store = Store(spark, scratch(spark, "store"))
+    tf = stored(_tf(spark, sf), "tf")
+    bag = [r["term"] for r in terms.top_terms(tf, CODEBOOK).collect()]  # CODEBOOK rows
+    store.save_codebook("music", "text", len(bag), bag)
+    loaded = store.load_bag("music", "text", tf)
+    return spark.createDataFrame([(i, t) for i, t in enumerate(loaded)], "place int, term string")
+
+
+def search_log(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
+    """Six logged searches of two applications."""
+    store = Store(spark, scratch(spark, "log"))
+    for i in range(6):
+        store.log_search("music" if i % 2 else "fashion", "text", "spimi", f"query {i}", float(i), i)
+    return store.read("search_logs").groupBy("app").agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency"), F.sum("n_results").cast("bigint").alias("results"))
+
+
+def inserted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Products inserted in two batches after a reset: ids go on from the table's last, missing columns are null and maps empty."""
+    store = Store(spark, scratch(spark, "rows"))
+    store.reset("songs", schema.SONGS)
+    items = part(spark, sf).select(F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
+    first = store.save_rows("songs", items, schema.SONGS)
+    second = store.save_rows("songs", items, schema.SONGS)
+    rows = store.read("songs")
+    return rows.groupBy("title", "artist").agg(F.count("*").alias("n"), F.sum(F.size("lyrics_hist")).cast("bigint").alias("entries")).crossJoin(F.broadcast(rows.agg(F.min("id").alias("least"), F.max("id").alias("most"), F.countDistinct("id").alias("ids")))).withColumn("firsts", F.lit(f"{first},{second}"))  # one row
+
+
 _OWN: list[Query] = [
     idf, tfidf_weights, l2_normalized, doc_norms, postings, corpus_stats, codebook_topk, codebook_filtered_tf, prepare_query, stopwords_tf, stem_tf, split_text, hist_to_dense, word_quantizer_hist,
     row_histogram, spimi_topk, spimi_topk_batch, dense_topk_minkowski3, sparse_dot, pgvector_topk, feature_index_topk, etl_rows, fts_and_topk, text_index_topk, vector_cosine_topk, vector_cosine_one, lsh_topk, recall_at_k, quantize_nearest,
     codeword_hist, codeword_full_hist, centroid_update, collect_full_outer, coverage_counts, pair_inner, metadata_left, not_cached, extension_priority, safe_stem, unique_stems, compose_desc,
     short_desc, first_given, append_distinct, label_counts, latency_percentiles, search_log_hours, result_envelope, codebook_upsert, stream_ingest, sampled_spans, sampled_vectors, synthetic_topk,
-    demo_metrics, ranked_labels,
+    demo_metrics, ranked_labels, jsonl_corpus, block_import, lyrics_rows, text_files, posting_lookup, cached_features, codebook_terms, search_log, inserted_rows,
 ]
 
 
@@ -400,6 +501,8 @@ def queries() -> dict[str, Query]:
     own: dict[str, Query] = {"tf": _tf, "df": lambda spark, sf: terms.document_frequency(_tf(spark, sf))}
     own |= {q.__name__: q for q in _OWN}
     own |= {f"dense_topk_{m}": _dense(m) for m in similarity.METRICS}
+    own["music_metadata"] = _csv_back(("title", "artist", "genre"), catalogues.music_metadata)
+    own["fashion_metadata"] = _csv_back(("name", "category", "subcategory"), catalogues.fashion_metadata)
     return own | {"kmeans_codebook": _codebook("kmean"), "kmedoid_codebook": _codebook("kmedoid")}
 
 

@@ -51,3 +51,19 @@ def dropped_bytes(content: Column) -> Column:
 def intact(files: DataFrame, sums: DataFrame) -> DataFrame:
     """Files (path, stem, content) whose SHA-1 is that of sums (stem, sha1)."""
     return files.join(sums, "stem").where(F.sha1("content") == F.lower("sha1")).drop("sha1")
+
+
+def write_texts(items: DataFrame, folder: str, text_col: str = "text") -> None:
+    """Materialises a collection: one text file for each stem below `texts/<stem>.txt` folders, and metadata.csv of the other columns.
+
+    Every item is one file of its own folder, as Spark names the files within; each text is followed by a line end.  `read_texts` reads
+    them back by stem.
+    """
+    items.select(F.concat(F.col("stem"), F.lit(".txt")).alias("file"), F.col(text_col).alias("value")).write.partitionBy("file").text(f"{folder}/texts")
+    items.drop(text_col).coalesce(1).write.option("header", True).option("escape", '"').csv(f"{folder}/metadata.csv")
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, text) of `write_texts`."""
+    rows = spark.read.text(f"{folder}/texts", wholetext=True)
+    return rows.select(stem_of(F.col("file").cast("string")).alias("stem"), F.expr("left(value, char_length(value) - 1)").alias("text"))

@@ -222,3 +222,84 @@ def test_feature_cache_takes_new_documents_only(spark, tmp_path):
     store.cache_features(spark.createDataFrame([("a", 0, [1.0], None), ("x", None, None, "bad")], kind))
     store.cache_features(spark.createDataFrame([("a", 0, [2.0], None), ("b", 0, [3.0], None)], kind))
     assert {(r["doc_id"], r["features"][0]) for r in store.read("features").collect()} == {("a", 1.0), ("b", 3.0)}
+
+
+def test_hashing_finds_most_of_the_nearest(spark):
+    """Recall at 10 of the approximate search against the exact one, over a stated query set."""
+    from tessera.plans import registry
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        exact = {(r["query_id"], r["doc_id"]) for r in registry.vector_cosine_topk(spark, sf).collect()}
+        found = {(r["query_id"], r["doc_id"]) for r in registry.lsh_topk(spark, sf).collect()}
+        assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_blocks_of_queries_and_rows(spark, monkeypatch):
+    """Many small blocks on both sides give what one block gives; ties go to the least id."""
+    import numpy as np
+
+    from tessera.operators import vector_search
+
+    draw = np.random.default_rng(3)
+    data = [(i, draw.integers(-2, 3, 4).astype(float).tolist()) for i in range(150)] + [(150, None), (151, [0.0] * 4)]
+    rows = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in data if i % 4 == 0 and v], "query_id string, embedding array<double>")
+    results = []
+    for size in (2048, 7):
+        monkeypatch.setattr(vector_search, "BLOCK", size)
+        results.append(sorted(map(tuple, vector_search.cosine_top_k_batch(rows, asked, 5, digits=6).collect())))
+    kept = [(i, np.array(v)) for i, v in data if v]
+    cosine = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if a.any() and b.any() else 0.0
+    want = []
+    for i, v in data:
+        if i % 4 == 0 and v:
+            best = sorted((-round(cosine(np.array(v), x), 6), j) for j, x in kept)[:5]
+            want += [(f"q{i}", n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    close = lambda found: [(q, r, d) for q, r, d, _ in found] == [(q, r, d) for q, r, d, _ in sorted(want)]
+    assert close(results[0]) and close(results[1])
+
+
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    """Append mode: windows come out once the watermark has passed, and a row behind it doesn't count."""
+    import datetime as dt
+
+    from tessera.streaming import ingest
+
+    source, kind = str(tmp_path / "in"), "ts timestamp, event_type string, value double"
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    for batch in ([(at(0, 5), "a", 1.0), (at(0, 50), "a", 3.0)], [(at(6), "a", 9.0)], [(at(0, 10), "a", 100.0), (at(12), "a", 9.0)], [(at(20), "a", 9.0)]):
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(source)
+        windows = ingest.search_log_windows(spark.readStream.schema(kind).parquet(source))
+        windows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    found = {r["start"]: (r["n"], r["avg_latency"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found[at(0)] == (2, 2.0)
+
+
+def test_centroids_follow_lloyd(spark):
+    """k-means of the library against plain Lloyd steps in NumPy from the same start."""
+    import numpy as np
+
+    from tessera.operators import clustering
+
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(c, 0.2, (40, 3)) for c in (0.0, 3.0, 6.0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = np.array(clustering.cluster(rows, 3, ["vec_id"], "kmean", "embedding"))
+    assign = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    # A fixed point of Lloyd's steps: each centroid is the mean of what is nearest to it.
+    own = assign(found)
+    assert np.allclose([x[own == k].mean(axis=0) for k in np.unique(own)], found[np.unique(own)], atol=1e-3)
+
+
+def test_stems_by_brute_force(spark):
+    from collections import Counter
+
+    from tessera.functions import text as T
+    from tessera.functions.porter import stem_word
+    from tessera.operators import terms
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {(r["doc_id"], r["term"]): r["tf"] for r in terms.term_frequencies(docs, stop=T.STOPWORDS, stem=True).collect()}
+    words = docs.select("doc_id", T.tokens(docs["text"]).alias("w")).collect()
+    want = Counter((r["doc_id"], stem_word(w)) for r in words for w in r["w"] if w not in set(T.STOPWORDS))
+    assert found == dict(want)
