@@ -7,18 +7,26 @@ its document, so that a search is one join and one sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import weights
 from tessera.operators import terms
-from tessera.session import stored
+from tessera.session import ship, stored
 
 #: Query terms up to this number are looked up as literals, which reach the scan of the postings.
 LITERAL_TERMS = 500
-#: Weighted query terms up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Weighted query terms up to this number, and matrices of terms and queries up to so many numbers, go to every task; more are joined.
+BROADCAST_ROWS, MATRIX = 50_000, 4_000_000
+#: Postings of a partition in which documents are scored.
+HITS = 250_000
 
 
 class InvertedIndex:
@@ -98,25 +106,83 @@ class InvertedIndex:
         sized = own.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm")).where("q_norm > 0")
         return own.join(sized, "query_id")
 
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, wq, df): known terms at the query's unit length."""
+        return self.query_weights(queries).select("query_id", "term", (F.col("wq") / F.col("q_norm")).alias("wq"), "df")
+
+    def entries(self, wanted: list[str]) -> DataFrame:
+        """(term, doc_id, u) of the wanted terms: literals of the scan while they are few, else joined by broadcast of the list."""
+        rows = self.postings.select("term", "doc_id", "u")
+        if len(wanted) <= LITERAL_TERMS:
+            return rows.where(F.col("term").isin(wanted))
+        return rows.join(F.broadcast(self.postings.sparkSession.createDataFrame([(t,) for t in wanted], "term string")), "term", "left_semi")
+
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of all candidates of all queries."""
-        q = self.query_weights(queries).select("query_id", "term", (F.col("wq") / F.col("q_norm")).alias("wq"))
-        held = q.limit(BROADCAST_ROWS + 1).collect()
-        entries = self.postings.select("term", "doc_id", "u")
-        if len(held) <= BROADCAST_ROWS:
-            # The weighted queries are few: they go to every task, and few terms are literals of the postings' scan.
-            q = F.broadcast(self.postings.sparkSession.createDataFrame(held, q.schema))
-            wanted = sorted({r["term"] for r in held})
-            if len(wanted) <= LITERAL_TERMS:
-                entries = entries.where(F.col("term").isin(wanted))
-        hits = entries.join(q, "term")
+        q = self.asked(queries).drop("df")
+        hits = self.postings.select("term", "doc_id", "u").join(q, "term")
         return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("u")).alias("score"))
 
     def search_batch(self, queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
-        """(query_id, rank, doc_id, score): the best k of each query (query_id, term, tf)."""
+        """(query_id, rank, doc_id, score): the best k of each query (query_id, term, tf).
+
+        Few queries are a matrix that goes to every task: postings are dealt by document, HITS of them to a partition, and each
+        partition keeps its best k for each query, so no row for a (query, document) pair is shuffled.  Larger query sets are joined.
+        """
         if self.n_docs <= 0:
             raise ValueError("the index holds no document")
-        return best(self.scores(queries), k, digits)
+        q = self.asked(queries)
+        held = q.limit(BROADCAST_ROWS + 1).collect()
+        names, wanted = sorted({r["query_id"] for r in held}), sorted({r["term"] for r in held})
+        if len(held) > BROADCAST_ROWS or len(names) * len(wanted) > MATRIX:
+            return best(self.scores(queries), k, digits)
+        at, column = {n: i for i, n in enumerate(names)}, {t: i for i, t in enumerate(wanted)}
+        weight = np.zeros((len(wanted), len(names)))
+        for r in held:
+            weight[column[r["term"]], at[r["query_id"]]] = r["wq"]
+        asks = np.zeros_like(weight, np.float32)
+        for r in held:
+            asks[column[r["term"]], at[r["query_id"]]] = 1
+        hits = sum({r["term"]: r["df"] for r in held}.values())
+        name_type, id_type = q.schema["query_id"].dataType, self.postings.schema["doc_id"].dataType
+        ship(self.postings.sparkSession)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts).combine_chunks()
+            ids = table["doc_id"].combine_chunks().dictionary_encode()
+            order = pc.array_sort_indices(ids.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            doc = place[ids.indices.to_numpy()]
+            term = pc.index_in(table["term"].combine_chunks(), value_set=pa.array(wanted, pa.string())).to_numpy()
+            by_doc = np.argsort(doc, kind="stable")
+            doc, term, u = doc[by_doc], term[by_doc], table["u"].to_numpy()[by_doc]
+            size = max(1, min(8192, MATRIX // max(1, len(wanted), len(names))))
+            for first in range(0, len(order), size):
+                a, b = np.searchsorted(doc, (first, first + size))
+                n = min(size, len(order) - first)
+                own = np.zeros((n, len(wanted)))
+                own[doc[a:b] - first, term[a:b]] = u[a:b]
+                has = np.zeros((n, len(wanted)), np.float32)
+                has[doc[a:b] - first, term[a:b]] = 1
+                score = own @ weight
+                if digits is not None:
+                    score = np.round(score, digits)
+                score = np.where(has @ asks > 0, score, -np.inf).T
+                m = min(k, n)
+                least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
+                row, col = np.nonzero((score >= least) & (score > -np.inf))
+                top = np.lexsort((col, -score[row, col], row))
+                row, col = row[top], col[top]
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(names)))[row] < m
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(names, to_arrow_type(name_type)).take(pa.array(row)), ids.dictionary.take(pa.array(order[first + col])), pa.array(score[row, col])], ["query_id", "doc_id", "score"])
+
+        dealt = self.entries(wanted).repartition(max(1, -(-hits // HITS)), "doc_id")
+        return best(dealt.mapInArrow(near, f"query_id {name_type.simpleString()}, doc_id {id_type.simpleString()}, score double"), k)
 
     def search_topk(self, query_tf: dict[str, int], k: int = 10) -> DataFrame:
         """(rank, doc_id, score) for one query; its terms reach the postings scan as literals."""
@@ -129,8 +195,8 @@ class InvertedIndex:
         df = {r["term"]: r["df"] for r in self.vocab.where(F.col("term").isin(list(given))).collect()}
         self.terms_read += len(df)
         narrow = InvertedIndex(self.postings.where(F.col("term").isin(list(df))), spark.createDataFrame(list(df.items()), "term string, df bigint"), self.doc_norms, self.n_docs)
-        scored = narrow.scores(queries)
-        top = scored.orderBy(F.desc("score"), "doc_id").limit(k)
+        rows = self.entries(list(df)).join(F.broadcast(narrow.asked(queries).select("term", "wq")), "term")  # LITERAL_TERMS at most
+        top = rows.groupBy("doc_id").agg(F.sum(F.col("wq") * F.col("u")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
         return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id"))).select("rank", "doc_id", "score")
 
 
