@@ -145,14 +145,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Slices up to so many bytes are merged by scans of their pairs.
+SHORT = 128
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pair = [ranks.get(piece[i : i + 2], 1 << 30) for i in range(len(parts) - 1)]
+    while pair:
+        best = min(pair)
+        if best == 1 << 30:
+            break
+        i = pair.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pair[i]
+        if i < len(pair):
+            pair[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
+        if i:
+            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
+    return [ranks[p] for p in parts]
+
+
 def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one slice: the adjacent pair of lowest rank (the leftmost of equals) is merged until none is left.
 
-    Parts are a linked list by start, pairs a heap by (rank, start); a pair is stale when its left part has another rank by then.
+    Of long slices, parts are a linked list by start and pairs a heap by (rank, start), where a pair is stale when its left part
+    has another rank by then; up to SHORT bytes a scan of all pairs is faster than a heap.
     """
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     end, back = list(range(1, n + 1)), list(range(-1, n - 1))
     pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
     heap = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
@@ -256,9 +280,9 @@ class Merger:
 
 
 class PieceCache(dict):
-    """A memo from slices to packed ids; what it lacks is merged together.  It holds `most` entries of LONGEST characters at most."""
+    """A memo from slices to packed ids; what it lacks is merged together.  It holds `most` entries, none of over LONGEST characters."""
 
-    LONGEST = 64
+    LONGEST = 256
 
     def __init__(self, merge, kind: str, most: int = 800_000):  # noqa: ANN001
         super().__init__()
