@@ -298,7 +298,8 @@ class PieceCache(dict):
                 found[i] = made[pieces[i]]
             if len(self) + len(made) > self.most:
                 self.clear()
-            self.update(item for item in made.items() if len(item[0]) <= self.LONGEST)
+            short = max(map(len, made)) <= self.LONGEST
+            self.update(made if short else {p: ids for p, ids in made.items() if len(p) <= self.LONGEST})
         return found
 
 
