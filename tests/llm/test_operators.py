@@ -216,6 +216,47 @@ def test_near_copies_of_short_and_medium_texts_are_linked(spark):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_near_copies_in_blocks_lose_no_link(spark):
+    """Buckets dealt into many blocks give the classes of all pairs: copies of one text, a chain, and texts of one shared passage."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        own[draw.randrange(200)] = word()
+        texts.append(own)
+    chain = list(base[:100])
+    for i in range(40):
+        chain = list(chain)
+        chain[(7 * i) % 100] = word()
+        texts.append(chain)
+    texts += [base + [word() for _ in range(draw.randrange(10, 120))] for _ in range(60)]
+    draw.shuffle(texts)
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for block in (3, 10_000):
+        assert {r["doc_id"] for r in near_copies.representatives(rows, block=block).collect()} == set(root)
+
+
+def test_cells_link_classes_that_blocks_leave_apart(spark):
+    sets = spark.createDataFrame([(k, np.arange(k // 10 * 100, k // 10 * 100 + 20 + k % 2, dtype=np.uint32).tobytes()) for k in range(40)], "key bigint, shingles binary")
+    large = spark.range(40).select(F.lit(5).cast("bigint").alias("bucket"), F.col("id").alias("key"), F.lit(20).alias("blocks"))
+    stars = spark.createDataFrame([(k, k // 10 * 10 + k % 3) for k in range(40)], "node bigint, root bigint")
+    found = near_copies.cross_links(large, stars, sets, 0.8).collect()
+    assert all(r["a"] // 10 == r["b"] // 10 for r in found)
+    links = {tuple(sorted((r["a"] // 10 * 10 + r["a"] % 3, r["b"] // 10 * 10 + r["b"] % 3))) for r in found}
+    assert links == {(g + a, g + b) for g in (0, 10, 20, 30) for a, b in ((0, 1), (0, 2), (1, 2))}
+    one = spark.range(1, 40).select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("root"))
+    assert near_copies.cross_links(large, one, sets, 0.8) is None
+
+
 # ---- language model --------------------------------------------------------------------------------------------------
 
 
