@@ -115,7 +115,9 @@ def learn_language(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS
             yield emit()
 
     counted = common.map_arrow(df.select(text_col), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return Language.of({r["word"].encode(): r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()})
+    # Written first: a collected limit would bring `most` words of each partition to the driver.
+    common_words = common.staged(counted.orderBy(F.desc("n"), "word").limit(most), "words")
+    return Language.of({r["word"].encode(): r["n"] for r in common_words.collect()})
 
 
 # Frequent syllables, for a language where no corpus is at hand.
