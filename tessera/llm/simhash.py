@@ -7,7 +7,7 @@ radius agrees under one of the 2**(radius+1) - 1 masks at least.
 
 Distinct fingerprints only are compared (copies meet in one row by a pre-aggregated minimum); within a bucket a search
 from each found neighbour makes a spanning forest, never all pairs; components follow by alternating large and small
-stars, each round written into the shared folder.  In every join by fingerprint or component, keys with over a thousandth of the
+stars, each half of a round written into the shared folder.  In every join by fingerprint or component, keys with over a thousandth of the
 rows (a thousand of them at most) are joined by broadcast, so that no group of copies meets in one task.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; ties of a bit are 0; repeated
@@ -216,10 +216,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = row
         both = have.union(have.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _lowest(both, "a", "b", 2 * row[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _lowest(large, "a", "b", row[0])
-        star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        after = common.Stage(tidy(star), "stars")
+        half = common.Stage(large, "stars")  # read many times below: a plan that repeats it fills the driver
+        small = _lowest(half.read(), "a", "b", row[0])
+        ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        after = common.Stage(tidy(small.select(ends.alias("e")).select("e.a", "e.b")), "stars")
         now.drop()
+        half.drop()
         now = after
     else:
         raise RuntimeError("components did not settle")

@@ -259,6 +259,58 @@ def test_cells_link_classes_that_blocks_leave_apart(spark):
     assert near_copies.cross_links(large, one, sets, 0.8) is None
 
 
+def test_near_copies_have_simhash_fingerprints():
+    draw = random.Random(9)
+    own = np.unique(np.array([draw.getrandbits(32) for _ in range(700)], np.uint32))
+    votes = [0] * near_copies.BITS
+    for shingle in own.tolist():
+        for w, (times, plus) in enumerate(zip(near_copies._TIMES.tolist(), near_copies._PLUS.tolist())):
+            h = (shingle * times + plus) % (1 << 64)
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+            h ^= h >> 31
+            for b in range(64):
+                votes[64 * w + b] += 1 if h >> b & 1 else -1
+    want = sum((v > 0) << i for i, v in enumerate(votes))
+    assert near_copies.fingerprint(own) == want.to_bytes(near_copies.BITS // 8, "little")
+    assert near_copies.fingerprint(own[:1]) != near_copies.fingerprint(own[1:2])
+
+
+def test_fingerprints_of_pairs_at_the_similarity_meet(spark):
+    """The narrowest pairs (0.8) meet in tables of eight bits, large buckets dealt into cells or not; unlike texts don't."""
+    draw = np.random.default_rng(10)
+    points, pairs = [], []
+    for size in (30, 90, 400):
+        for _ in range(300):
+            own = draw.integers(0, 1 << 32, size, dtype=np.uint32)
+            shared, rest = own[: size * 8 // 10], own[size * 8 // 10 :]
+            two = [near_copies.fingerprint(np.sort(np.concatenate((shared, half)))) for half in np.split(rest, 2)]
+            pairs.append([int.from_bytes(p[:8], "little", signed=True) for p in two])
+            points += two
+    rows = spark.createDataFrame([(bytearray(p),) for p in points], "fp binary")
+    for members, cell in ((7, 10_000), (1000, 100)):
+        root = {r["node"]: r["root"] for r in near_copies.near_classes(rows, 0.8, members, cell).collect()}
+        met = sum(root.get(a, a) == root.get(b, b) for a, b in pairs)
+        assert met >= 0.998 * len(pairs)
+        assert len({root.get(p, p) for pair in pairs for p in pair}) == len(points) - met
+    assert near_copies.blocks_of_bits(8).shape == (near_copies.tables(8), 8)
+    assert len(set(near_copies.blocks_of_bits(8).ravel().tolist())) == 8 * near_copies.tables(8)  # disjoint
+
+
+def test_bucket_search_connects_what_all_pairs_connect():
+    draw = np.random.default_rng(11)
+    early, radius = near_copies.radii(0.8)
+    for n, centres in ((50, 40), (1200, 1), (1500, 400)):
+        points = draw.integers(0, 1 << 63, (centres, 3), dtype=np.uint64)[draw.integers(0, centres, n)]
+        for i in range(n):
+            for _ in range(draw.integers(0, 45)):
+                points[i, draw.integers(3)] ^= np.uint64(1) << np.uint64(draw.integers(64))
+        gaps = np.bitwise_count(points[:, None] ^ points)
+        a, b = np.nonzero((gaps[:, :, 0] <= early) & (gaps.sum(axis=2) <= radius))
+        want, found = simhash.spanning(points[a, 0], points[b, 0]), simhash.spanning(*near_copies.near_points(points, 0.8))
+        assert all((x == y).all() for x, y in zip(want, found))
+
+
 # ---- language model --------------------------------------------------------------------------------------------------
 
 
