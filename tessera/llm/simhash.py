@@ -239,20 +239,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return common.skew_join(docs, mapped, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, docs: DataFrame, groups: DataFrame, stars: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """One row of df for each class, that of the smallest id (null ids last), then of the smallest text hash.
+def not_all_stay(docs: DataFrame, groups: DataFrame, stars: DataFrame, key: str) -> DataFrame:
+    """(id, text_key, stays) of the rows of which none or not each stays, when one row of each class does: that of the
+    smallest id (null ids last), then of the smallest text hash.  stays: one of the rows that repeat this id and text.
 
     docs: (id, key, text_key) of each row; groups: (key, least: struct<away, id, text_key>) of each key; stars: (node, root).
     """
     rooted = groups.join(stars, groups[key] == stars.node, "left").select(F.coalesce("root", key).alias("root"), "least")
     chosen = rooted.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.id").alias("__id"), F.col("m.text_key").alias("__key"))
-    chosen = common.staged(chosen, "chosen")
-    single = common.keep_rows(df, chosen.select(F.col("__id").alias(id_col), F.col("__key").alias("text_key")), id_col, text_col)
-    same = docs.id.eqNullSafe(chosen["__id"]) & docs.text_key.eqNullSafe(chosen["__key"])
-    if not docs.join(chosen, same, "left_semi").groupBy("id", "text_key").count().where("count > 1").limit(1).count():
-        return single
-    # Rows that repeat an id and a text: one of them stays.
-    return single.withColumn("__tessera_key", common.text_key(F.col(text_col))).dropDuplicates([id_col, "__tessera_key"]).drop("__tessera_key")
+    rows = docs.groupBy("id", "text_key").agg(F.count("*").alias("n"))
+    same = rows.id.eqNullSafe(chosen["__id"]) & rows.text_key.eqNullSafe(chosen["__key"])
+    marked = rows.join(chosen.withColumn("stays", F.lit(True)), same, "left").select("id", "text_key", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    return marked.where("n > 1 or not stays").drop("n")
+
+
+def without(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that stay, by the written table of `not_all_stay`.  The texts of the others are not shuffled."""
+    few, rest = common.sifted(df, F.xxhash64(df[id_col], common.text_key(df[text_col])), found.select(F.xxhash64("id", "text_key").alias("hash")))
+    single = common.drop_rows(few, found.where("not stays"), id_col, text_col)
+    if found.where("stays").limit(1).count():
+        # Rows that repeat an id and a text: one of them stays.
+        single = single.withColumn("__tessera_key", common.text_key(F.col(text_col))).dropDuplicates([id_col, "__tessera_key"]).drop("__tessera_key")
+    return rest.union(single)
 
 
 def least_row() -> Column:
@@ -262,9 +270,12 @@ def least_row() -> Column:
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each class, that of the smallest id (null ids only where a class has no other), with all columns."""
-    docs = common.staged(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    groups = common.staged(docs.groupBy("fp").agg(least_row()), "groups")
-    return one_of_each(df, docs, groups, components(links(groups.select("fp"), radius)), "fp", id_col, text_col)
+    with common.passing(df.sparkSession):
+        docs = common.staged(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
+        groups = common.staged(docs.groupBy("fp").agg(least_row()), "groups")
+        stars = components(links(groups.select("fp"), radius))
+        found = common.staged(not_all_stay(docs, groups, stars, "fp"), "found", lasting=True)
+    return without(df, found, id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import byte_bpe, chat_format, language_model, media, near_copies, packing, quality_classifier, quality_rules, seating, secrets_scan, simhash, toxicity
+from tessera.llm import byte_bpe, chat_format, common, language_model, media, near_copies, packing, quality_classifier, quality_rules, seating, secrets_scan, simhash, toxicity
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -245,6 +246,47 @@ def test_near_copies_in_blocks_lose_no_link(spark):
         assert {r["doc_id"] for r in near_copies.representatives(rows, block=block).collect()} == set(root)
 
 
+def test_near_copies_shuffle_no_text_or_set_that_has_no_near_copy(spark):
+    """2,000 texts with 40 near copies: less than a third of their bytes is shuffled, and of the tables between none is left."""
+
+    def shuffled() -> int:
+        jvm = spark._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    draw = random.Random(12)
+    texts = [[f"{draw.getrandbits(40):x}" for _ in range(400)] for _ in range(2000)]
+    texts += [t[:200] + ["other"] + t[201:] for t in texts[:40]]
+    rows = common.staged(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string"), "texts")
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    held, before, most = set(folder.iterdir()), shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_copies.representatives(rows)
+        assert {r["doc_id"] for r in kept.collect()} == set(range(2000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert shuffled() - before < sum(len(w) + 1 for t in texts for w in t) / 3
+    assert {p.name.split("-")[1] for p in set(folder.iterdir()) - held} == {"found", "slots"}
+    assert spark.conf.get(common.FREED, None) is None
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 25])
+def test_representatives_of_repeated_rows_and_null_ids(spark, monkeypatch, slots):
+    """Copies, repeated rows and null ids, with slots that many rows share or few: the row of the smallest id stays once."""
+    monkeypatch.setattr(common, "SLOTS", slots)
+    draw = random.Random(13)
+    rows = [(draw.choice([None, draw.randrange(200)]), " ".join([f"w{k}x{j}" for j in range(8)]), k) for k in draw.choices(range(150), k=300)]
+    rows += draw.choices(rows, k=100) + [(None, None, 7), (1000, "", 8), (1000, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int")
+    least = {}
+    for i, text, _ in rows:
+        least[text or ""] = min(least.get(text or "", (True, 0)), (i is None, i or 0))
+    want = sorted((away, i, text) for text, (away, i) in least.items())
+    for method in (near_copies, simhash):
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in method.representatives(docs).collect()) == want
+
+
 def test_cells_link_classes_that_blocks_leave_apart(spark):
     sets = spark.createDataFrame([(k, np.arange(k // 10 * 100, k // 10 * 100 + 20 + k % 2, dtype=np.uint32).tobytes()) for k in range(40)], "key bigint, shingles binary")
     large = spark.range(40).select(F.lit(5).cast("bigint").alias("bucket"), F.col("id").alias("key"), F.lit(20).alias("blocks"))
