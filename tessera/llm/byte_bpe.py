@@ -122,21 +122,20 @@ def token_starts(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts.T.ravel()[:n])
 
 
-def pretokens(texts: list[str]) -> tuple[list[str], list[int]]:
-    """All slices of the texts in order, and how many belong to each text."""
-    if not texts:
-        return [], []
+def pretokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of the texts, where each slice starts and stops in them, how many slices belong to each text)."""
     whole = "\n".join(texts) + "\n"
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    data, points = whole.encode(), np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     start = token_starts(symbols(points, ends))
     # Positions of separators among the starts split them by text.
     split = np.searchsorted(start, ends)
     counts = np.diff(np.concatenate(([-1], split))) - 1
-    stop = np.append(start[1:], len(points))
+    if len(data) > len(points):
+        start = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[start]
     keep = np.ones(len(start), bool)
     keep[split] = False
-    return [whole[a:b] for a, b in zip(start[keep].tolist(), stop[keep].tolist())], counts.tolist()
+    return data, start[keep], np.append(start[1:], len(data))[keep], counts
 
 
 @lru_cache(2)
@@ -206,11 +205,54 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Places:
+    """Numbers from 1 on by 64-bit hashes, in open addressing; 0 stands for a free place.  Keys are compared by the caller."""
+
+    def __init__(self, most: int):
+        bits = (2 * most).bit_length()
+        self.table, self.shift = np.zeros(1 << bits, np.int32), np.uint64(64 - bits)
+
+    def home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, equal: Callable[[np.ndarray, np.ndarray | slice], np.ndarray]) -> np.ndarray:
+        """The number n at each i for which equal(n, i), else 0."""
+        spot = self.home(hashes)
+        found = self.table[spot]
+        on = np.flatnonzero((found > 0) & ~equal(found, slice(None)))
+        while len(on):
+            spot[on] = (spot[on] + 1) & (len(self.table) - 1)
+            found[on] = self.table[spot[on]]
+            on = on[(found[on] > 0) & ~equal(found[on], on)]
+        return found
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Numbers of keys that are not in the table and differ."""
+        spot = self.home(hashes)
+        while len(numbers):
+            free = self.table[spot] == 0
+            self.table[spot[free]] = numbers[free]  # of several for one place one gets it
+            left = self.table[spot] != numbers
+            spot, numbers = (spot[left] + 1) & (len(self.table) - 1), numbers[left]
+
+
+def mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of two words (unsigned, 64 bits)."""
+    out = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def highest_bit(x: np.ndarray) -> np.ndarray:
+    """Its position, for integers from 1 to 2**24 - 1 (exact as floats); less than 0 for 0."""
+    return (x.astype(np.float32).view(np.int32) >> 23) - 127
+
+
 class Merger:
     """Pair merging of many slices at once, where a merged pair's rank is its id.
 
-    Slices up to WIDE bytes are rows of a matrix: each round finds every row's first pair of lowest rank, puts the pair's
-    id in its place, and looks up the two pairs beside it; rows without a pair that merges leave.
+    Slices up to WIDE bytes are columns of a matrix: each round finds every column's first pair of lowest rank, puts the pair's
+    id in its left place, and looks up the two pairs beside it; columns without a pair that merges leave.
     """
 
     WIDE, NONE = 24, 1 << 30
@@ -220,15 +262,21 @@ class Merger:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(left << 32 | right)
-        self.keys, self.merged = (left << 32 | right)[order], merged[order].astype(np.int32)
+        self.keys = np.append(-1, left << 32 | right)
+        self.merged = np.append(self.NONE, merged).astype(np.int32)
+        self.places = Places(len(self.keys))
+        self.places.add(self.hashes(self.keys[1:]), np.arange(1, len(self.keys), dtype=np.int32))
         # Pairs of single bytes, the most of all look-ups, have a table of their own.
         self.byte_pairs = self.lookup(np.repeat(self.single, 256), np.tile(self.single, 256))
 
+    @staticmethod
+    def hashes(key: np.ndarray) -> np.ndarray:
+        return mixed(key.view(np.uint64), np.uint64(0))
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], self.NONE).astype(np.int32)
+        """Ids of merged pairs, else NONE; an id of -1 is in no pair."""
+        key = left.astype(np.int64) << 32 | right
+        return self.merged[self.places.find(self.hashes(key), lambda n, i: self.keys[n] == key[i])]
 
     def merge(self, pieces: list[bytes], kind: str) -> list[bytes]:
         """Packed ids of each slice."""
@@ -241,82 +289,198 @@ class Merger:
                 out[i] = np.array(merge_pairs(pieces[i], self.ranks), kind).tobytes()
             else:
                 wide.append(i)
-        wide.sort(key=list(map(len, pieces)).__getitem__)
-        for start in range(0, len(wide), 1 << 15):
-            part = wide[start : start + (1 << 15)]
-            rows = [pieces[i] for i in part]
-            n, width = len(rows), len(rows[-1])
-            raw = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
-            lengths = np.fromiter(map(len, rows), np.int64, n)
-            ids = np.where(np.arange(width) < lengths[:, None], self.single[raw], -1).astype(np.int32)
-            rank = np.full((n, width), self.NONE, np.int32)
-            rank[:, :-1] = np.where(np.arange(1, width) < lengths[:, None], self.byte_pairs[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]], self.NONE)
-            live = np.arange(n)
-            while len(live):
-                now = rank[live]
-                at = now.argmin(axis=1)
-                best = now[np.arange(len(live)), at]
-                go = best < self.NONE
-                live, at, best, now = live[go], at[go], best[go], now[go]
-                if not len(live):
-                    break
-                row = np.arange(len(live))
-                before = np.arange(width - 1) <= at[:, None]  # what stands behind the pair moves up
-                text = ids[live]
-                text[:, :-1] = np.where(before, text[:, :-1], text[:, 1:])
-                text[:, -1] = -1
-                text[row, at] = best
-                now[:, :-1] = np.where(before, now[:, :-1], now[:, 1:])
-                now[:, -1] = self.NONE
-                now[row, at] = self.lookup(best, text[row, np.minimum(at + 1, width - 1)])
-                inner = at > 0
-                now[row[inner], at[inner] - 1] = self.lookup(text[row[inner], at[inner] - 1], best[inner])
-                ids[live], rank[live] = text, now
-            count, data = (ids >= 0).sum(axis=1), ids.astype(kind)
-            data, step = data.tobytes(), width * data.itemsize
-            for i, k, c in zip(part, range(n), (count * size).tolist()):
-                out[i] = data[k * step : k * step + c]
+        raw = np.frombuffer(b"".join(pieces[i].ljust(self.WIDE, b"\0") for i in wide), np.uint8).reshape(len(wide), self.WIDE)
+        ids, counts = self.rows(raw, np.array([len(pieces[i]) for i in wide], np.int64))
+        data, ends = ids.astype(kind).tobytes(), (np.cumsum(counts) * size).tolist()
+        for i, a, b in zip(wide, [0, *ends], ends):
+            out[i] = data[a:b]
         return out
 
+    def rows(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices in order, how many each has).  A row of raw holds the bytes of a slice, WIDE at most, and any others."""
+        out = np.full(raw.shape, -1, np.int32)
+        order = np.argsort(lengths, kind="stable")
+        for start in range(0, len(order), 1 << 14):
+            self._merge_rows(raw, lengths, order[start : start + (1 << 14)], out)
+        known = out >= 0
+        return out[known], known.sum(axis=1)
+
+    def _merge_rows(self, raw: np.ndarray, lengths: np.ndarray, part: np.ndarray, out: np.ndarray) -> None:
+        """Ids of the rows in `part`, in order of length, into `out`; places that were merged away stay -1."""
+        width, none = int(lengths[part[-1]]), self.NONE
+        text, length = raw[part, :width].T.astype(np.int32), lengths[part].astype(np.int32)
+        place = np.arange(width, dtype=np.int32)[:, None]
+        # One place more, without an id, stands for what is before the first and behind the last.
+        ids, rank = np.full((width + 1, len(part)), -1, np.int32), np.full((width + 1, len(part)), none, np.int32)
+        ids[:-1] = np.where(place < length, self.single[text], -1)
+        pair = self.byte_pairs[text[:-1] << 8 | text[1:]]
+        rank[:-2] = np.where((place[1:] < length) & (pair < none), pair << 5 | place[:-1], none)  # the lowest is the first of its rank
+        alive = (1 << length) - 1  # a bit for each place with an id
+
+        def behind(at: np.ndarray) -> np.ndarray:
+            rest = alive >> (at + 1)
+            return np.where(rest == 0, width, at + 1 + highest_bit(rest & -rest))
+
+        def ranked(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+            found = self.lookup(left, right)
+            return np.where(found < none, found << 5 | at, none)
+
+        while len(part):
+            best = rank[:-1].min(axis=0)
+            go = best < none
+            if not go.all():
+                over = np.flatnonzero(~go)
+                out[part[over], :width] = ids[:-1, over].T
+                go = np.flatnonzero(go)
+                ids, rank, part, alive, best = ids[:, go], rank[:, go], part[go], alive[go], best[go]
+            row, at, new = np.arange(len(part)), best & 31, best >> 5
+            right = behind(at)
+            after, before = behind(right), highest_bit(alive & ((1 << at) - 1))
+            before = np.where(before < 0, width, before)
+            alive ^= 1 << right
+            ids[at, row], ids[right, row], rank[right, row] = new, -1, none
+            rank[at, row] = ranked(new, ids[after, row], at)
+            rank[before, row] = ranked(ids[before, row], new, before)
+
+
+#: Slices up to so many bytes are two words, with the length in the last byte: an exact key.
+KEYED = 15
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def slice_keys(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of each slice of up to KEYED bytes, from the text as words of 8 bytes with two words or more behind it."""
+    word, shift = start >> 3, ((start & 7) << 3).astype(np.uint64)
+    first, second, third = words[word], words[word + 1], words[word + 2]
+    back, one = np.uint64(63) - shift, np.uint64(1)
+    low = (first >> shift | second << one << back) & MASKS[np.minimum(length, 8)]
+    high = (second >> shift | third << one << back) & MASKS[np.maximum(length - 8, 0)]
+    return low, high | length.astype(np.uint64) << np.uint64(56)
+
+
+def as_words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data + bytes(24 + -len(data) % 8), "<u8")
+
 
 class PieceCache(dict):
-    """A memo from slices to packed ids; what it lacks is merged together.  It holds `most` entries, none of over LONGEST characters."""
+    """A memo from slices to ids; what it lacks is merged together.
 
-    LONGEST = 256
+    Slices up to KEYED bytes are looked up together, by their exact keys, in arrays of `most` entries, where the merger's whole
+    tokens always are.  Longer ones are entries of the dict, `most` too, none of over LONGEST characters.
+    """
+
+    LONGEST, TOGETHER = 256, 1 << 18
 
-    def __init__(self, merge, kind: str, most: int = 800_000):  # noqa: ANN001
+    def __init__(self, merger, kind: str, most: int = 800_000):  # noqa: ANN001
         super().__init__()
-        self.fresh, self.kind, self.most = merge, kind, most
+        self.merger, self.kind, self.most = merger, kind, most
+        tokens = [(b"", -1), *((t, i) for t, i in merger.ranks.items() if len(t) <= KEYED)]
+        length = np.array([len(t) for t, _ in tokens])
+        self.whole = *slice_keys(as_words(b"".join(t for t, _ in tokens)), np.cumsum(length) - length, length), np.array([i for _, i in tokens[1:]], kind)
+        self.most_keys = max(most, 2 * len(tokens))
+        self.places = Places(self.most_keys)
+        # Two words of the key, and the place of the ids with their number in the last 16 bits; entry 0 is no slice's.
+        self.entries, self.ids = np.zeros((self.most_keys + 1, 3), np.uint64), np.zeros(1 << 16, kind)
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the whole tokens, and the empty slice."""
+        low, high, ids = self.whole
+        self.places.table[:] = 0
+        self.held = self.used = 0
+        self.put(ids)
+        self.note(low, high, np.maximum(np.arange(len(low)) - 1, 0), np.minimum(np.arange(len(low)), 1))
+
+    def put(self, ids: np.ndarray) -> int:
+        """Where the ids are laid."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(2 * self.used - at, self.kind)])
+        self.ids[at : self.used] = ids
+        return at
+
+    def note(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        numbers = np.arange(self.held + 1, self.held + 1 + len(low), dtype=np.int32)
+        self.entries[numbers] = np.stack([low, high, (at << 16 | count).astype(np.uint64)], axis=1)
+        self.places.add(mixed(low, high), numbers)
+        self.held += len(low)
 
     def packed(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of slices, by the dict."""
         found = list(map(self.get, pieces))
         if None in found:
             lacking = [i for i, x in enumerate(found) if x is None]
             new = list({pieces[i]: None for i in lacking})
-            made = dict(zip(new, self.fresh(new, self.kind)))
+            made = dict(zip(new, self.merger.merge([p.encode() for p in new], self.kind)))
             for i in lacking:
                 found[i] = made[pieces[i]]
             if len(self) + len(made) > self.most:
                 self.clear()
-            short = max(map(len, made)) <= self.LONGEST
-            self.update(made if short else {p: ids for p, ids in made.items() if len(p) <= self.LONGEST})
+            self.update({p: ids for p, ids in made.items() if len(p) <= self.LONGEST})
         return found
 
+    def encode(self, data: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices of the text in order, how many each has)."""
+        words, size = as_words(data), self.TOGETHER
+        blocks = [self._encode(data, words, start[i : i + size], stop[i : i + size]) for i in range(0, len(start), size)]
+        if not blocks:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in blocks]), np.concatenate([count for _, count in blocks])
+
+    def _encode(self, data: bytes, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = stop - start
+        long = np.flatnonzero(length > KEYED)
+        length[long] = 0
+        low, high = slice_keys(words, start, length)
+
+        def equal(n: np.ndarray, i: np.ndarray | slice) -> np.ndarray:
+            entry = self.entries[n]
+            return (entry[:, 0] == low[i]) & (entry[:, 1] == high[i])
+
+        found = self.places.find(mixed(low, high), equal)
+        where = self.entries[found, 2].astype(np.int64)
+        at, count = where >> 16, where & 0xFFFF
+        lacking, new = np.flatnonzero(found == 0), None
+        if len(lacking):
+            lacking = lacking[np.lexsort((low[lacking], high[lacking]))]
+            differs = np.ones(len(lacking), bool)
+            differs[1:] = (np.diff(low[lacking]) != 0) | (np.diff(high[lacking]) != 0)
+            first, same = lacking[differs], np.cumsum(differs) - 1
+            raw = np.stack([low[first], high[first] & MASKS[7]], axis=1).astype("<u8").view(np.uint8)
+            ids, many = self.merger.rows(raw, length[first])
+            new = low[first], high[first], self.put(ids) + np.cumsum(many) - many, many
+            at[lacking], count[lacking] = new[2][same], many[same]
+        used = self.used
+        if len(long):
+            pieces = self.packed([data[a:b].decode() for a, b in zip(start[long].tolist(), stop[long].tolist())])
+            many = np.array([len(p) for p in pieces]) // self.ids.itemsize
+            at[long], count[long] = self.put(np.frombuffer(b"".join(pieces), self.kind)) + np.cumsum(many) - many, many
+        before = np.cumsum(count) - count
+        out = self.ids[np.repeat(at - before, count) + np.arange(count.sum())]
+        self.used = used  # ids of long slices are the dict's
+        if new is not None and self.held + len(new[0]) <= self.most_keys:
+            self.note(*new)
+        elif new is not None:
+            self.ids = self.ids[: 1 << 16].copy()
+            self.forget()
+        return out, count
+
 
 @lru_cache(4)
 def merge_cache(path: str) -> PieceCache:
     merger = Merger(load_ranks(path))
-    return PieceCache(lambda pieces, kind: merger.merge([p.encode() for p in pieces], kind), "<u2" if max(merger.ranks.values()) < 1 << 16 else "<u4")
+    return PieceCache(merger, "<u2" if max(merger.ranks.values()) < 1 << 16 else "<u4")
 
 
 def encode_pieces(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
-    """Ids of each text, from a memo of each slice's packed ids."""
-    pieces, counts = pretokens(texts)
-    packed = cache.packed(pieces)
-    at = 0
-    for count in counts:
-        yield np.frombuffer(b"".join(packed[at : at + count]), cache.kind)
-        at += count
+    """Ids of each text, from a memo of each slice's ids."""
+    if not texts:
+        return
+    data, start, stop, counts = pretokens(texts)
+    ids, many = cache.encode(data, start, stop)
+    ends = np.append(0, np.cumsum(many))[np.cumsum(counts)].tolist()
+    for a, b in zip([0, *ends], ends):
+        yield ids[a:b]
 
 
 @lru_cache(2)

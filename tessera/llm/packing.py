@@ -56,6 +56,21 @@ def added_tokens(path: str):  # noqa: ANN201
     return own, re.compile("|".join(literals)) if literals else None
 
 
+class LibraryMerger:
+    """Stands for byte_bpe.Merger where the library encodes the slices."""
+
+    def __init__(self, own):  # noqa: ANN001
+        self.own, self.ranks = own, {}
+
+    def merge(self, pieces: list[bytes], kind: str) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in self.own.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def rows(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, step = raw.tobytes(), raw.shape[1]
+        packed = self.merge([data[i * step : i * step + n] for i, n in enumerate(lengths.tolist())], "<u4")
+        return np.frombuffer(b"".join(packed), "<u4"), np.array([len(p) // 4 for p in packed], np.int64)
+
+
 @lru_cache(2)
 def piece_cache(path: str) -> byte_bpe.PieceCache:
     """The memo of one tokenizer file.  Where the file's ids follow its merges, as in byte-level BPE, slices are merged
@@ -69,9 +84,8 @@ def piece_cache(path: str) -> byte_bpe.PieceCache:
     in_order = all(vocabulary[a + b] == i + 256 for i, (a, b) in enumerate(merges)) and all(vocabulary.get(c, 256) < 256 for c in letters)
     if model["type"] == "BPE" and in_order and not model.get("byte_fallback"):
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
-        merger = byte_bpe.Merger(ranks)
-        return byte_bpe.PieceCache(lambda pieces, k: merger.merge([p.encode() for p in pieces], k), kind)
-    return byte_bpe.PieceCache(lambda pieces, k: [np.array(e.ids, k).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)], kind)
+        return byte_bpe.PieceCache(byte_bpe.Merger(ranks), kind)
+    return byte_bpe.PieceCache(LibraryMerger(own), kind)
 
 
 def byte_letters() -> dict[int, str]:

@@ -65,6 +65,35 @@ def test_long_slices_equal_the_library():
     assert packing.encode_texts([text, text[16:]], JSON)[0].tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_short_slices_are_looked_up_together(monkeypatch):
+    """Only slices of over 15 bytes are looked up one by one."""
+    asked = []
+    monkeypatch.setattr(byte_bpe.PieceCache, "get", lambda self, key: asked.append(key) or dict.get(self, key), raising=False)
+    text = " the quick brown fox" * 5000 + " incomprehensibilities"
+    (ids,) = packing.encode_texts([text], JSON)
+    assert ids.tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+    assert asked == [" incomprehensibilities"]
+
+
+def test_memo_forgets_and_keeps_slices_apart():
+    """Lengths about the limits of keys and of matrices, zero bytes, more slices than the memo holds, and the library's own merges."""
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices(letters, k=n)) for n in range(1, 40)) for letters in ("etaoin", "\0a", "é漢a", "\0", "#-")]
+    texts += [" ".join("".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(20_000)) for _ in range(6)]
+    expected = [reference_bpe.encode_ordinary(t) for t in texts]
+    cache = byte_bpe.PieceCache(byte_bpe.Merger(byte_bpe.load_ranks(RANKS)), "<u2", 1000)
+    for _ in range(2):
+        held = []
+        for text, ids in zip(texts, expected):
+            assert next(byte_bpe.encode_pieces([text], cache)).tolist() == ids
+            held.append(cache.held)
+        assert max(held) <= cache.most_keys and held != sorted(held)
+    by_library = byte_bpe.PieceCache(packing.LibraryMerger(packing.tokenizer(JSON)), "<u2")
+    own = Tokenizer.from_file(JSON)
+    for found, text in zip(byte_bpe.encode_pieces(texts[:6], by_library), texts):
+        assert found.tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_offsets_cut_the_text(spark, texts):
     rows = byte_bpe.encode(spark.read.parquet(f"{SF}/documents.parquet"), RANKS).limit(20).collect()
     table = byte_bpe.id_bytes(RANKS)[0]
