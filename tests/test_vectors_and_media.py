@@ -234,6 +234,35 @@ def test_hashing_finds_most_of_the_nearest(spark):
         assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_hashed_candidates_are_never_listed(spark, monkeypatch):
+    """Pairs that share a bucket are found in blocks: the same rows for any block, and no pair is a row of the plan."""
+    import numpy as np
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.linalg import Vectors
+
+    from tessera.operators import vector_search
+
+    draw = np.random.default_rng(5)
+    data = [(i, draw.normal(size=6).tolist()) for i in range(90)] + [(90, None), (91, [0.0] * 6)]
+    rows = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in data if i % 4 == 0 and v], "query_id string, embedding array<double>")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in data if v}
+    frame = spark.createDataFrame([(i, Vectors.dense(u)) for i, u in unit.items()], ["i", "features"])
+    hashes = {r["i"]: np.array([h[0] for h in r["hashes"]]) for r in BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.2, numHashTables=2, seed=42).fit(frame).transform(frame).collect()}
+    want = []
+    for i in (i for i in unit if i % 4 == 0):
+        met = sorted(((-round(float(unit[i] @ unit[j]), 6), j) for j in unit if (hashes[i] == hashes[j]).any()))[:5]
+        want += [(f"q{i}", r + 1, j, -s) for r, (s, j) in enumerate(met)]
+    for size in (2048, 7):
+        monkeypatch.setattr(vector_search, "BLOCK", size)
+        for bytes_ in (0, 64_000_000):
+            monkeypatch.setattr(vector_search, "BROADCAST_BYTES", bytes_)
+            found = vector_search.lsh_top_k_batch(rows, asked, 5, tables=2, width=0.2, digits=6)
+            assert [(r["query_id"], r["rank"], r["doc_id"], r["score"] + 0.0) for r in found.sort("query_id", "rank").collect()] == [(a, b, c, pytest.approx(d, abs=1e-6)) for a, b, c, d in sorted(want)]
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan and "Distinct" not in plan
+
+
 def test_blocks_of_queries_and_rows(spark, monkeypatch):
     """Many small blocks on both sides give what one block gives; ties go to the least id."""
     import numpy as np
