@@ -132,6 +132,23 @@ def test_codebook_and_histograms(spark):
     assert {r["doc_id"]: r["hist"] for r in terms.as_maps(tf).collect()}["d"] == {"hola": 2, "foo": 1, "bar": 1, "test": 1}
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_words_are_counted_where_their_row_is_read(spark, monkeypatch):
+    """No row of a (document, term) is shuffled unless an id comes again; slices of any size give the same counts."""
+    rows = [(1, "Hearts, hearts; the running\u2003RUNS\u00a0x9"), (2, None), (3, "  ...  "), (4, "d\u00e9j\u00e0 vu runs "), (None, "one null id")]
+    want = {(1, "heart"): 2, (1, "run"): 2, (1, "x"): 1, (4, "d\u00e9j\u00e0"): 1, (4, "vu"): 1, (4, "run"): 1, (None, "on"): 1, (None, "null"): 1, (None, "id"): 1}
+    for size in (8_000_000, 1):
+        monkeypatch.setattr(terms, "SLICE", size)
+        for extra in ([], [(4, "runs"), (None, "null")]):
+            docs = spark.createDataFrame(rows + extra, "doc_id bigint, text string").coalesce(2)
+            tf = terms.term_frequencies(docs, stop=["the"], stem=True)
+            assert bool(exchanges(tf)) == bool(extra)
+            assert {(r["doc_id"], r["term"]): r["tf"] for r in tf.collect()} == (want | {(4, "run"): 2, (None, "null"): 2} if extra else want)
+
+
 def test_full_text_is_conjunctive(spark, text):
     queries = spark.createDataFrame([("a", "love"), ("a", "night"), ("b", "love"), ("b", "noexiste")], "query_id string, term string")
     found = ranking(fulltext.search(text, queries, 10))
