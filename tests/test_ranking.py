@@ -149,6 +149,33 @@ def test_words_are_counted_where_their_row_is_read(spark, monkeypatch):
             assert {(r["doc_id"], r["term"]): r["tf"] for r in tf.collect()} == (want | {(4, "run"): 2, (None, "null"): 2} if extra else want)
 
 
+def test_rare_terms_alone_are_shuffled_for_df(spark, monkeypatch):
+    """df of common terms goes to every task; whatever COMMON is, the same rows, and ranking with null ids, in joins or matrices, is the same."""
+    from tessera.operators import scoring
+
+    tf = spark.createDataFrame([(d, t, 1 + d % 3) for d in range(40) for t in ("all", f"t{d % 4}", f"own{d}")] + [(None, "all", 1)], "doc_id bigint, term string, tf int")
+    queries = spark.createDataFrame([("a", "t1", 1), ("a", "own5", 2), ("b", "all", 1), ("b", "t2", 3)], "query_id string, term string, tf int")
+    plans, found, ranks = [], [], []
+    for common in (100_000, 5, 0):
+        monkeypatch.setattr(terms, "COMMON", common)
+        own = terms.with_df(tf)
+        plans.append(own._jdf.queryExecution().optimizedPlan().toString())
+        found.append(sorted((str(r["doc_id"]), r["term"], r["tf"], r["df"]) for r in own.collect()))
+        for rows in (50_000, 0):
+            monkeypatch.setattr(scoring, "BROADCAST_ROWS", rows)
+            ranks.append(ranking(index.InvertedIndex.build(tf).search_batch(queries, 5, 6)))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 121 and ("None", "all", 1, 41) in found[0]
+    assert "Union" not in plans[0] and "Union" in plans[1] and "broadcast" in plans[1]
+    assert all(r == ranks[0] for r in ranks) and ranks[0]["a"][0][0] == 5
+
+
+def test_postings_are_not_shuffled_to_be_weighted(spark, text, tmp_path):
+    """The stored index has counts alone, and a search deals out only the postings of its terms."""
+    own = index.InvertedIndex.build(text).write(f"file://{tmp_path}/index")
+    assert own.postings.columns == ["term", "doc_id", "tf"]
+    assert "Join" not in index.InvertedIndex.build(text).postings._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_full_text_is_conjunctive(spark, text):
     queries = spark.createDataFrame([("a", "love"), ("a", "night"), ("b", "love"), ("b", "noexiste")], "query_id string, term string")
     found = ranking(fulltext.search(text, queries, 10))
