@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import terms
 from tessera.operators.index import InvertedIndex
+from tessera.session import stored
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
@@ -31,7 +32,7 @@ def term_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rebuild(spark: SparkSession, folder: str, index_folder: str) -> InvertedIndex:
-    return InvertedIndex.build(term_table(spark, folder)).write(index_folder)
+    return InvertedIndex.build(stored(term_table(spark, folder), "terms")).write(index_folder)
 
 
 def search_log_windows(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", time_col: str = "ts", engine_col: str = "event_type", latency_col: str = "value") -> DataFrame:
