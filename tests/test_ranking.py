@@ -176,6 +176,18 @@ def test_postings_are_not_shuffled_to_be_weighted(spark, text, tmp_path):
     assert "Join" not in index.InvertedIndex.build(text).postings._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_histograms_and_unit_lengths_shuffle_little(spark):
+    """A vocabulary's histogram shuffles only its terms; unit lengths need one shuffle of the vectors and no sort of them."""
+    tf = spark.createDataFrame([(d, t, 1 + d) for d in range(6) for t in ("a", "b", f"own{d}")] + [(9, "x", 1)], "doc_id bigint, term string, tf int")
+    made = terms.vocabulary_histogram(tf, spark.createDataFrame([("a",), ("own3",)], "term string"))
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["term"]): r["n"] for r in made.collect()} == {(d, t): (1 + d) * (d < 6 and (t == "a" or d == 3)) for d in (*range(6), 9) for t in ("a", "own3")}
+    vectors = tf.select("doc_id", "term", tf["tf"].cast("double").alias("w")).unionByName(spark.createDataFrame([(7, "z", 0.0)], "doc_id bigint, term string, w double"))
+    unit = terms.l2_normalized(vectors)
+    assert "SortMergeJoin" not in unit._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["term"]): r["w"] for r in unit.collect()} == {(d, t): pytest.approx(1 / math.sqrt(3)) for d in range(6) for t in ("a", "b", f"own{d}")} | {(9, "x"): 1.0, (7, "z"): 0.0}
+
+
 def test_full_text_is_conjunctive(spark, text):
     queries = spark.createDataFrame([("a", "love"), ("a", "night"), ("b", "love"), ("b", "noexiste")], "query_id string, term string")
     found = ranking(fulltext.search(text, queries, 10))
