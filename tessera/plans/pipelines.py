@@ -25,7 +25,7 @@ CHUNK = r"#chunk\d+$"
 def analyse(texts: DataFrame, stem: bool = True, mark: str = "\n\n") -> DataFrame:
     """(doc_id, term, tf) of paragraph chunks of texts (stem, text)."""
     chunked = T.chunks(texts, "stem", "text", mark=mark)
-    return terms.term_frequencies(chunked, stop=T.STOPWORDS, stem=stem)
+    return terms.term_frequencies(chunked, stop=T.STOPWORDS, stem=stem, again=terms.repeated(texts, "stem"))  # ids of chunks come again if stems do
 
 
 @dataclass
