@@ -103,6 +103,42 @@ def test_minkowski_over_the_union_of_keys(spark, metric, p):
             assert found[a, b] == pytest.approx(max(gaps) if p == math.inf else sum(g**p for g in gaps) ** (1 / p))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "manhattan", "euclidean", "chebyshev", 3, 2.5])
+def test_dense_ranking_in_matrices_and_joins(spark, monkeypatch, metric):
+    """No document is crossed with a query; both ways give the brute force's rows, documents at unit length or made so."""
+    import numpy as np
+
+    from tessera.operators import scoring
+
+    draw = np.random.default_rng(11)
+    docs = {d: {f"t{t}": float(draw.integers(1, 5)) for t in draw.choice(12, draw.integers(1, 6), replace=False)} for d in range(30)} | {30: {"t0": 0.0}}
+    queries = {"a": {"t1": 0.6, "t2": 0.8}, "b": {"t2": 1.0, "new": 0.0}, "c": {"t11": 0.28, "t4": 0.96}}
+    sizes = {d: math.sqrt(sum(w * w for w in v.values())) or 1.0 for d, v in docs.items()}
+    rows = lambda c, by=None: [(k, t, w / (by[k] if by else 1)) for k, v in c.items() for t, w in v.items()]
+    raw, own = (spark.createDataFrame(rows(docs, by), "doc_id bigint, term string, w double") for by in (None, sizes))
+    asked = spark.createDataFrame(rows(queries), "query_id string, term string, w double")
+    want = {}
+    for q, qv in queries.items():
+        found = []
+        for d, dv in docs.items():
+            pairs = [(dv.get(t, 0) / sizes[d], qv.get(t, 0)) for t in dv.keys() | qv.keys()]
+            gaps = [abs(x - y) for x, y in pairs]
+            p = {"manhattan": 1, "euclidean": 2}.get(metric, metric)
+            found.append((-round(sum(x * y for x, y in pairs), 6) if metric == "cosine" else round(max(gaps) if metric == "chebyshev" else sum(g**p for g in gaps) ** (1 / p), 6), d))
+        want[q] = [(d, pytest.approx(abs(s), abs=2e-6)) for s, d in sorted(found)[:4]]
+    for limit in (50_000, 0):
+        monkeypatch.setattr(scoring, "BROADCAST_ROWS", limit)
+        for given, unit in ((raw, True), (own, False)):
+            top = similarity.top_k(asked, given, 4, metric, 6, unit=unit)
+            assert ranking(top) == want
+            if limit:
+                plan = top._jdf.queryExecution().executedPlan().toString()
+                assert "Cartesian" not in plan and "NestedLoop" not in plan
+    if metric == "cosine":
+        pairs = {(r["query_id"], r["doc_id"]): r["dot"] for r in similarity.dots(asked, raw).collect()}
+        assert pairs == {(r["query_id"], r["doc_id"]): pytest.approx(r["dot"]) for r in similarity.sparse_dot(asked, own).collect()}
+
+
 def test_any_python_metric(spark):
     rows = spark.createDataFrame([("d1", "x", 1.0), ("d1", "y", 2.0), ("d2", "x", 2.0)], "doc_id string, term string, w double")
     query = spark.createDataFrame([("q", "x", 2.0), ("q", "y", 1.0)], "query_id string, term string, w double")
