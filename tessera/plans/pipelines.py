@@ -17,7 +17,7 @@ from tessera.functions import vectors
 from tessera.operators import clustering, pairing, terms
 from tessera.operators.index import InvertedIndex
 from tessera.sources import audio, images
-from tessera.sources.tables import Store
+from tessera.sources.tables import Store, numbered_rows
 
 CHUNK = r"#chunk\d+$"
 
@@ -42,7 +42,9 @@ def index_text(texts: DataFrame, codebook_size: int, folder: str, mark: str = "\
     tf = spark.read.parquet(f"{folder}/tf")
     terms.top_terms(tf, codebook_size).coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     codebook = spark.read.parquet(f"{folder}/codebook")
-    kept = terms.within_codebook(tf, codebook)
+    # Written, as the index and the rows' histograms read it several times.
+    terms.within_codebook(tf, codebook).write.mode("overwrite").parquet(f"{folder}/kept")
+    kept = spark.read.parquet(f"{folder}/kept")
     return TextIndex(InvertedIndex.build(kept).write(folder), codebook, kept)
 
 
@@ -99,7 +101,11 @@ def prepare_media_query(spark: SparkSession, content: bytes, extractor, centroid
 
 
 def _rows_with_histograms(items: DataFrame, hists: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Items with a histogram and a dense vector for each modality; items without one have an empty map and a null vector."""
+    """Items, numbered, with a histogram and a dense vector for each modality; items without one have an empty map and a null vector.
+
+    A stem has one histogram, so the joins keep every item once and its number with it.
+    """
+    items = numbered_rows(items)
     for name, (by_stem, keys) in hists.items():
         maps = terms.as_maps(by_stem, "stem").withColumnRenamed("hist", f"{name}_hist")
         dense = vectors.hist_to_dense(F.col(f"{name}_hist"), keys)

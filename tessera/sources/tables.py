@@ -53,7 +53,10 @@ class Store:
         return {t: self.exists(t) for t in tables}
 
     def save_rows(self, table: str, rows: DataFrame, kind: T.StructType) -> int:
-        """Appends rows with ids that follow the table's; columns that rows lack are null (maps: empty).  The first id is returned."""
+        """Appends rows with ids that follow the table's; columns that rows lack are null (maps: empty).  The first id is returned.
+
+        Rows may be numbered already (`numbered_rows`), before joins that would be computed once more to count them.
+        """
         last = self.read(table, kind).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         columns = []
         for field in kind.fields:
@@ -66,7 +69,7 @@ class Store:
                 columns.append((F.coalesce(own, F.create_map().cast(field.dataType)) if isinstance(field.dataType, T.MapType) else own).cast(field.dataType).alias(field.name))
             else:
                 columns.append((F.create_map() if isinstance(field.dataType, T.MapType) else F.lit(None)).cast(field.dataType).alias(field.name))
-        self.append(table, numbered_rows(rows).select(*columns))
+        self.append(table, (rows if "__n" in rows.columns else numbered_rows(rows)).select(*columns))
         return last + 1
 
     def save_codebook(self, app: str, modality: str, size: int, bag: list[str] | None = None, centroids_path: str | None = None, index_dir: str | None = None) -> None:

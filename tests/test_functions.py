@@ -67,3 +67,13 @@ def test_dense_vectors(spark):
     hist = F.create_map(F.lit("b"), F.lit(3), F.lit("d"), F.lit(4), F.lit("z"), F.lit(9))
     assert one(spark, vectors.hist_to_dense(hist, ["a", "b", "d"])) == pytest.approx([0, 0.6, 0.8])
     assert one(spark, vectors.hist_to_dense(hist, ["a", "b"], normalize=False)) == [0, 3]
+
+
+def test_dense_vectors_of_blocks_of_maps(spark, monkeypatch):
+    """Maps are laid into matrices, whatever the block: null and empty maps are zero, and no map is searched for each key."""
+    monkeypatch.setattr(vectors, "DENSE_ROWS", 2)
+    rows = [(0, {"a": 3, "c": 4}), (1, None), (2, {}), (3, {"z": 5}), (4, {"b": 2, "a": None})]
+    df = spark.createDataFrame(rows, "i int, hist map<string,int>").coalesce(1)
+    made = df.select("i", vectors.hist_to_dense(F.col("hist"), ["a", "b", "c"]).alias("v"))
+    assert "element_at" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["i"]: r["v"] for r in made.collect()} == {0: [0.6, 0.0, 0.8], 1: [0.0] * 3, 2: [0.0] * 3, 3: [0.0] * 3, 4: [0.0, 1.0, 0.0]}

@@ -332,3 +332,23 @@ def test_stems_by_brute_force(spark):
     words = docs.select("doc_id", T.tokens(docs["text"]).alias("w")).collect()
     want = Counter((r["doc_id"], stem_word(w)) for r in words for w in r["w"] if w not in set(T.STOPWORDS))
     assert found == dict(want)
+
+
+def test_rows_are_numbered_before_joins(spark, tmp_path):
+    """Numbers made before a join are the ids; the rows aren't computed once more to be counted."""
+    from tessera import schema
+    from tessera.sources.tables import Store, numbered_rows
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    items = numbered_rows(spark.createDataFrame([(f"s{i}",) for i in range(50)], "title string").repartition(4))
+    rows = items.mapInArrow(count, items.schema)
+    assert store.save_rows("songs", rows, schema.SONGS) == 1
+    found = store.read("songs").select("id", "title").collect()
+    assert sorted(r["id"] for r in found) == list(range(1, 51)) and len({r["title"] for r in found}) == 50 and seen.value == 50
