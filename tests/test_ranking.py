@@ -224,6 +224,20 @@ def test_histograms_and_unit_lengths_shuffle_little(spark):
     assert {(r["doc_id"], r["term"]): r["w"] for r in unit.collect()} == {(d, t): pytest.approx(1 / math.sqrt(3)) for d in range(6) for t in ("a", "b", f"own{d}")} | {(9, "x"): 1.0, (7, "z"): 0.0}
 
 
+def test_chunks_are_counted_without_a_shuffle_unless_stems_repeat(spark, tmp_path):
+    from tessera.plans import pipelines
+
+    rows = [("a", "singing songs of the long hearts\nshort\nrunning away from the hearts"), ("b", "a song")]
+    for extra in ([], [("b", "a song again")]):
+        texts = spark.createDataFrame(rows + extra, "stem string, text string")
+        tf = pipelines.analyse(texts, mark="\n")
+        assert bool(exchanges(tf)) == bool(extra)
+        found = {(r["doc_id"], r["term"]): r["tf"] for r in tf.collect()}
+        assert found["a#chunk000", "heart"] == found["a#chunk001", "heart"] == 1 and found["b#chunk000", "song"] == 1 + len(extra)
+        own = pipelines.index_text(texts, 3, f"file://{tmp_path}/index{len(extra)}", mark="\n")
+        assert "Join" not in own.tf._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_full_text_is_conjunctive(spark, text):
     queries = spark.createDataFrame([("a", "love"), ("a", "night"), ("b", "love"), ("b", "noexiste")], "query_id string, term string")
     found = ranking(fulltext.search(text, queries, 10))
